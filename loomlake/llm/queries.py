@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
+from .html import main_text
 from .licenses import scan_licenses
 from .mixing import mix_sources, share_out
 from .quality import BASE, quality_rules
@@ -45,6 +47,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", base.alias("base_failed"), "q.kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated", "longest")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "license_digest", "license_id", F.array_join("notice_ids", ",").alias("notices"))
@@ -93,6 +107,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op3_quality_rules": op3_quality_rules,
+        "op5_decontamination": op5_decontamination,
+        "op8_html_extraction": op8_html_extraction,
         "op6_license_scan": op6_license_scan,
         "op9_mixing": op9_mixing,
     }
