@@ -9,6 +9,10 @@ from loomlake.llm.util import written
 
 STAGES = [
     ("quality rules", stages.quality),
+    ("n-gram jaccard join", stages.near_duplicates),
+    ("benchmark decontamination", stages.decontaminate),
+    ("mixing sources to target weights", stages.mix),
+    ("sharding", stages.shard),
 ]
 
 #: Sharding draws its counts from a random law, which SQL cannot express; tests compare with brute force.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .html import main_text
+from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .mixing import mix_sources, share_out
 from .quality import BASE, quality_rules
@@ -64,6 +65,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_digest", "license_id", F.array_join("notice_ids", ",").alias("notices"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def source_quotas(totals: dict[tuple, int]) -> dict:
     """Targets of the sources, in the order of code points with null last."""
     sizes: dict = {}
@@ -111,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op6_license_scan": op6_license_scan,
         "op9_mixing": op9_mixing,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 

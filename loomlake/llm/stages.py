@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
+from .jaccard import jaccard_components
 from .mixing import repeated
 from .quality import quality_rules
 from .queries import SHARDS, mixed_documents
@@ -18,6 +20,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, out_col=q).where(F.col(f"{q}.kept")).select(*[col(c) for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id.
+
+    Documents without words are in no group and stay. Rows that repeat an id stay once.
+    """
+    keyed = docs if "component_id" not in docs.columns and "n_shingles" not in docs.columns else docs.drop("component_id", "n_shingles")
+    found = jaccard_components(keyed)
+    kept = found.where((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull())
+    return kept.dropDuplicates(["doc_id"]).select(*[col(c) for c in keyed.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verbatim passage of the benchmark."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*[col(c) for c in docs.columns])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture to target weights; a document that is taken twice stands there twice."""
     return repeated(mixed_documents(docs)[0])
