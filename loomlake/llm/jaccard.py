@@ -5,10 +5,11 @@ n - ceil(t n) + 1 in one global order (rare ones first) must hold one that any p
 Each index list falls into blocks by set size; only equal and neighbouring blocks can hold partners,
 and the places within the prefixes bound the overlap, so that other blocks and entries are skipped.
 
-The first round computes the similarity of each set to the first set of its block. Sets that turn out
-to be linked share a component, and their answers follow from each other: the second round skips all
-pairs within a component, and those that the distances to their common first set rule out (Jaccard
-distance is a metric). Everything else is compared.
+The first round computes the similarity of each set to the first set of one of its blocks, two more
+turns that to a neighbour on its lists. Sets that turn out to be linked share a component, and their
+answers follow from each other: the last round skips all pairs within a component, and those that
+the distances to their common first set rule out (Jaccard distance is a metric), or that share too
+few shingles of their prefixes. Everything else is compared.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MOST_SENT = 500_000
 #: Distinct shingles that a task counts before it gives out those found more than once.
 COUNTED = 3_000_000
 ROUNDS = 4
+#: Turns in which neighbours of different components are compared before the last round.
+TURNS = 2
 
 IS_WORD = table(r"[^\x20\x09-\x0D]")
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
@@ -193,16 +196,34 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
             break
         heavy |= more
 
-    # First round: each set against the first of its block.
-    pairs = index.where("head <> key").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    first = written(_compared(pairs, texts), "first")
+    # First round: each set against the first of the block with which it shares most lists.
+    best = F.max(F.struct("c", "other"))
+    pairs = index.where("head <> key").groupBy("key", F.col("head").alias("other")).agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(best.alias("x"))
+    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), texts), "first")
     is_link = F.col("common") * 100 >= F.col("union") * LEAST
-    found = first.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    known = components(found)
+    links = first.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    known = components(links)
+
+    # Neighbours on a list that are in different components, likewise; each turn joins components.
+    def rooted_index() -> DataFrame:
+        return index.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    tried = first.select("a", "b")
+    for _ in range(TURNS):
+        on_list = Window.partitionBy("token", "block").orderBy("n", "key")
+        near = rooted_index().select("key", "root", F.lag("key").over(on_list).alias("other"), F.lag("root").over(on_list).alias("of_other")).where("root <> of_other")
+        new = near.select(F.col("other").alias("a"), F.col("key").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        new = new.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
+        turn_found = written(_compared(new, texts), "turn")
+        tried = tried.unionByName(turn_found.select("a", "b"))
+        more_links = turn_found.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if more_links.isEmpty():
+            break
+        known = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more_links))
 
-    # Second round: across components only, where blocks, places and distances allow a link.
+    # Last round: across components only, where blocks, places, distances and counts allow a link.
     far = first.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("common") / F.col("union")).alias("far"))
-    e = index.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(far, ["head", "key"], "left")
+    e = rooted_index().join(far, ["head", "key"], "left")
     e = e.withColumn("far", F.when(F.col("head") == F.col("key"), F.lit(0.0)).otherwise(F.col("far")))
     e = e.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token)}).where("lo <> hi").select("token", "key", "n", "pos", "root", "block", "head", "far")
     e = written(e, "across")
@@ -217,7 +238,12 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         & ((F.least("pos_a", "pos_b") + bound) * (100 + LEAST) >= LEAST * (F.col("n_a") + F.col("n_b")))
         & ((F.col("head_a") != F.col("head_b")) | F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - LEAST / 100 + 1e-9, F.lit(True)))
     )
-    rest = a.join(b, ["token", "block"]).where(may).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    # Shared shingles among the first ones, and all that can stand behind them, must do for a link.
+    behind = F.greatest(F.ceil(F.col("n_a") * LEAST / 100), F.ceil(F.col("n_b") * LEAST / 100)) - 1
+    enough = (F.col("c") + behind) * (100 + LEAST) >= LEAST * (F.col("n_a") + F.col("n_b"))
+    counted = a.join(b, ["token", "block"]).where(may).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = counted.where(enough).select("a", "b").join(both_ways, ["a", "b"], "left_anti")
     second = _compared(written(rest, "rest"), texts).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     whole = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
 
