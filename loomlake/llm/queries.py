@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .mixing import mix_sources, share_out
 from .quality import BASE, quality_rules
 from .sharding import shard_rows
+from .suffix_dedup import remove_repeats
 from .sql import LICENSES_SQL, QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", base.alias("base_failed"), "q.kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -113,6 +119,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op3_quality_rules": op3_quality_rules,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontamination": op5_decontamination,
         "op8_html_extraction": op8_html_extraction,
         "op6_license_scan": op6_license_scan,
