@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .html import main_text
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
+from .maxent import lm_scores
 from .mixing import mix_sources, share_out
 from .quality import BASE, quality_rules
 from .sharding import shard_rows
@@ -61,6 +62,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated", "longest")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 7
+    docs = docs.withColumn("held_out", rest == 2)
+    scored = lm_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -121,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": op3_quality_rules,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontamination": op5_decontamination,
+        "op7_lm_scores": op7_lm_scores,
         "op8_html_extraction": op8_html_extraction,
         "op6_license_scan": op6_license_scan,
         "op9_mixing": op9_mixing,
