@@ -16,6 +16,8 @@ from .mixing import mix_sources, share_out
 from .quality import BASE, quality_rules
 from .sharding import shard_rows
 from .suffix_dedup import remove_repeats
+from .token_files import read_index, write_tokens
+from .util import shared_dir
 from .sql import LICENSES_SQL, QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +46,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/loomlake/{uuid.uuid4().hex}/tokens"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_index(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="q")
     base = F.exists("q.failed", lambda r: r.isin(*BASE))
@@ -127,6 +139,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_token_coder": op2_token_coder,
         "op3_quality_rules": op3_quality_rules,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontamination": op5_decontamination,
