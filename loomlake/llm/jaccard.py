@@ -153,11 +153,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([left, batch.column(batch.schema.get_field_index("b")), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, common, union) of each pair of keys, on the sets of the whole texts."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    some = texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    some = written(some, "texts")
+def _compared(pairs: DataFrame, some: DataFrame) -> DataFrame:
+    """(a, b, common, union) of each pair of keys, on the sets of the whole texts in ``some``."""
     first = pairs.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = first.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a binary, b binary, common bigint, union bigint")
@@ -196,10 +193,14 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
             break
         heavy |= more
 
+    # Whole texts of all that stand on a list, once each; no other text can be linked.
+    listed = index.select("key").distinct()
+    pool = written(texts.join(listed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+
     # First round: each set against the first of the block with which it shares most lists.
     best = F.max(F.struct("c", "other"))
     pairs = index.where("head <> key").groupBy("key", F.col("head").alias("other")).agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(best.alias("x"))
-    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), texts), "first")
+    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), pool), "first")
     is_link = F.col("common") * 100 >= F.col("union") * LEAST
     links = first.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     known = components(links)
@@ -214,7 +215,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         near = rooted_index().select("key", "root", F.lag("key").over(on_list).alias("other"), F.lag("root").over(on_list).alias("of_other")).where("root <> of_other")
         new = near.select(F.col("other").alias("a"), F.col("key").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
         new = new.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
-        turn_found = written(_compared(new, texts), "turn")
+        turn_found = written(_compared(new, pool), "turn")
         tried = tried.unionByName(turn_found.select("a", "b"))
         more_links = turn_found.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if more_links.isEmpty():
@@ -244,7 +245,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     counted = a.join(b, ["token", "block"]).where(may).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = counted.where(enough).select("a", "b").join(both_ways, ["a", "b"], "left_anti")
-    second = _compared(written(rest, "rest"), texts).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    second = _compared(written(rest, "rest"), pool).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     whole = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
 
     # The least id of each class of equal texts, then of each component; only keys and ids move.
