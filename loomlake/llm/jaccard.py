@@ -5,8 +5,8 @@ n - ceil(t n) + 1 in one global order (rare ones first) must hold one that any p
 Each index list falls into blocks by set size; only equal and neighbouring blocks can hold partners,
 and the places within the prefixes bound the overlap, so that other blocks and entries are skipped.
 
-The first round computes the similarity of each set to the first set of one of its blocks, two more
-turns that to a neighbour on its lists. Sets that turn out to be linked share a component, and their
+The first round computes the similarity of each set to the first set of one of its blocks, which is the
+one that most lists hold; two more turns compute that to a neighbour on its lists. Sets that turn out to be linked share a component, and their
 answers follow from each other: the last round skips all pairs within a component, and those that
 the distances to their common first set rule out (Jaccard distance is a metric), or that share too
 few shingles of their prefixes. Everything else is compared.
@@ -186,7 +186,9 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         # Size blocks: partners stand in the same block or the next.
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST))).cast("int")
         index = entries.repartition("token").dropDuplicates(["token", "key"]).withColumn("of", F.count(F.lit(1)).over(by_token)).where("of > 1").withColumn("block", block)
-        head = F.first("key").over(Window.partitionBy("token", "block").orderBy("n", "key"))
+        # The original of a family of copies has most of its prefix on long lists: it comes first.
+        index = index.withColumn("listed", F.sum("of").over(Window.partitionBy("key")))
+        head = F.first("key").over(Window.partitionBy("token", "block").orderBy(F.desc("listed"), "key"))
         index = written(index.withColumn("head", head), "index")
         more = {r[0]: r[1] for r in index.where(F.col("of") > LONG_LIST).groupBy("token").agg(F.max("of")).limit(MOST_SENT).collect() if heavy.get(r[0], 0) == 0}
         if not more or turn == ROUNDS - 1 or len(heavy) + len(more) > MOST_SENT:
@@ -211,7 +213,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
     tried = first.select("a", "b")
     for _ in range(TURNS):
-        on_list = Window.partitionBy("token", "block").orderBy("n", "key")
+        on_list = Window.partitionBy("token", "block").orderBy(F.desc("listed"), "key")
         near = rooted_index().select("key", "root", F.lag("key").over(on_list).alias("other"), F.lag("root").over(on_list).alias("of_other")).where("root <> of_other")
         new = near.select(F.col("other").alias("a"), F.col("key").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
         new = new.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
