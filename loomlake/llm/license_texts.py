@@ -54,6 +54,7 @@ SPELLINGS = (
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("sublicence", "sublicense"),
     ("sub licensed?", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("organisation", "organization"),
