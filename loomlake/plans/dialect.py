@@ -6,7 +6,7 @@ import re
 
 # name: (Spark SQL, DuckDB); $1, $2 ... are the arguments.
 FORMS = {
-    "MILLIS": ("unix_millis(CAST($1 AS TIMESTAMP))", "epoch_ms($1)"),
+    "MILLIS": ("unix_millis(CAST($1 AS TIMESTAMP))", "(epoch_us($1) // 1000)"),
     "WORDS": ("explode(split(lower(trim($1)), ' +'))", "unnest(regexp_split_to_array(lower(trim($1)), ' +'))"),
     "SUB": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
     "SHA": ("sha2(encode($1, 'UTF-8'), 256)", "sha256($1)"),
