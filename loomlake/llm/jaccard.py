@@ -5,11 +5,14 @@ n - ceil(t n) + 1 in one global order (rare ones first) must hold one that any p
 Each index list falls into blocks by set size; only equal and neighbouring blocks can hold partners,
 and the places within the prefixes bound the overlap, so that other blocks and entries are skipped.
 
-The first round computes the similarity of each set to the first set of one of its blocks, which is the
-one that most lists hold; two more turns compute that to a neighbour on its lists. Sets that turn out to be linked share a component, and their
-answers follow from each other: the last round skips all pairs within a component, and those that
-the distances to their common first set rule out (Jaccard distance is a metric), or that share too
-few shingles of their prefixes. Everything else is compared.
+The first round computes the similarity of each set to the first set of one of its lists, which is the
+one of about its size that most lists hold; two more turns compute that to a neighbour on its lists. Sets
+that turn out to be linked share a component, and their answers follow from each other: the last round
+skips all pairs within a component. Two sets S and T with a common first set H share
+|H| - |H-S| - |H-T| shingles and those in which they differ from H in the same way, so that their answer
+follows from their differences to H: these are indexed by prefix instead of the sets. If no common
+difference is needed, S and T are both linked to H and in its component. All other pairs are compared
+unless places in the prefixes or counts rule them out.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ COUNTED = 3_000_000
 ROUNDS = 4
 #: Turns in which neighbours of different components are compared before the last round.
 TURNS = 2
+#: A first set must share this many hundredths of the union with a set for their differences to be indexed.
+NEAR = 25
 
 IS_WORD = table(r"[^\x20\x09-\x0D]")
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
@@ -137,27 +142,87 @@ def _index(sent):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-    for batch in batches:
-        common, union = [], []
-        left = batch.column(batch.schema.get_field_index("a"))
-        texts = batch.column(batch.schema.get_field_index("text_a"))
-        for k, t in enumerate(_sets(batch, "text_b")):
-            key = left[k].as_py()
-            if key != last[0]:
-                last = (key, shingle_sets([(texts[k].as_py() or "").encode()])[0])
-            n = len(np.intersect1d(last[1], t, assume_unique=True))
-            common.append(n)
-            union.append(len(last[1]) + len(t) - n)
-        yield pa.RecordBatch.from_arrays([left, batch.column(batch.schema.get_field_index("b")), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union"])
-
-
-def _compared(pairs: DataFrame, some: DataFrame) -> DataFrame:
-    """(a, b, common, union) of each pair of keys, on the sets of the whole texts in ``some``."""
+def _compare(differences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            common, n_a, n_b, more, less = [], [], [], [], []
+            left = batch.column(batch.schema.get_field_index("a"))
+            texts = batch.column(batch.schema.get_field_index("text_a"))
+            for k, t in enumerate(_sets(batch, "text_b")):
+                key = left[k].as_py()
+                if key != last[0]:
+                    last = (key, shingle_sets([(texts[k].as_py() or "").encode()])[0])
+                s = last[1]
+                n = len(np.intersect1d(s, t, assume_unique=True))
+                common.append(n)
+                n_a.append(len(s))
+                n_b.append(len(t))
+                near = differences and 100 * n >= NEAR * (len(s) + len(t) - n)
+                more.append(_short(np.setdiff1d(t, s, assume_unique=True)) if near else None)
+                less.append(_short(np.setdiff1d(s, t, assume_unique=True)) if near else None)
+            counts = [pa.array(x, pa.int64()) for x in (common, n_a, n_b)]
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (more, less)] if differences else []
+            names = ["a", "b", "common", "n_a", "n_b", *(["more", "less"] if differences else [])]
+            yield pa.RecordBatch.from_arrays([left, batch.column(batch.schema.get_field_index("b")), *counts, *lists], names=names)
+
+    return run
+
+
+def _short(s: np.ndarray) -> np.ndarray:
+    """32 bits of each hash: two that fall together only add candidates."""
+    return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _compared(pairs: DataFrame, some: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, common, n_a, n_b) of each pair of keys, on the sets of the whole texts in ``some``.
+
+    With ``differences`` also the shingles that b has ``more`` than a and ``less`` than a, if they are near.
+    """
+    schema = "a binary, b binary, common bigint, n_a bigint, n_b bigint" + (", more array<int>, less array<int>" if differences else "")
     first = pairs.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = first.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a binary, b binary, common bigint, union bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(differences), schema)
+
+
+def _by_differences(first: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components and the same near first set that may be linked.
+
+    ``first``: each set's comparison with its first set, with differences; ``known``: (node, root).
+    """
+    near = first.where("more is not null").select(F.col("a").alias("center"), F.col("b").alias("key"), F.col("n_a").alias("n_center"), F.col("n_b").alias("n"), "more", "less")
+    near = near.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = near.groupBy("center").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("center")
+    near = near.join(several, "center").withColumns({"n_less": F.size("less"), "n_more": F.size("more"), "delta": F.size("more") + F.size("less")})
+    near = written(near, "near")
+    base = ["center", "key", "n_center", "n", "root", "n_less", "delta"]
+    # Shared losses come last in the order. A pair needs them only where neither set loses more than
+    # |H| - overlap, which for either set means: losses and three times its gains are within |H|.
+    gains = near.select(*base, "n_more", F.explode("more").alias("token"), F.lit(False).alias("lost"))
+    losses = near.where("n_less + 3 * n_more <= n_center").select(*base, "n_more", F.explode("less").alias("token"), F.lit(True).alias("lost"))
+    on_list = Window.partitionBy("center", "token")
+    e = gains.unionByName(losses).withColumns({"of": F.count(F.lit(1)).over(on_list), "lo": F.min("root").over(on_list), "hi": F.max("root").over(on_list)})
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("center", "key").orderBy("lost", "of", "token")) - 1)
+    e = written(e.where("lo <> hi").select(*base, "token", "pos"), "differences")
+    cols = ("key", "n", "root", "n_less", "delta", "pos")
+    left = e.select("center", "token", "n_center", *[F.col(c).alias(f"{c}_a") for c in cols])
+    right = e.select("center", "token", *[F.col(c).alias(f"{c}_b") for c in cols])
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * LEAST / (100 + LEAST))
+    need = overlap - F.col("n_center") + F.col("n_less_a") + F.col("n_less_b")
+    after = F.least(F.col("delta_a") - F.col("pos_a"), F.col("delta_b") - F.col("pos_b"))
+    may = (
+        (F.col("key_a") < F.col("key_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (100 * F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b"))
+        & (after >= need)
+    )
+    pairs = left.join(right, ["center", "token"]).where(may).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), need.cast("int").alias("need")).distinct()
+    # Common differences, all of them, must do.
+    lists = near.select("key", F.concat("more", "less").alias("all"))
+    both = pairs.join(lists.select(F.col("key").alias("a"), F.col("all").alias("all_a")), "a").join(lists.select(F.col("key").alias("b"), F.col("all").alias("all_b")), "b")
+    # Short hashes of one set may fall together; then the count is not to be trusted, and the pair stays.
+    alike = (F.size(F.array_intersect("all_a", "all_b")) >= F.col("need")) | (F.size(F.array_distinct("all_a")) < F.size("all_a")) | (F.size(F.array_distinct("all_b")) < F.size("all_b"))
+    return both.where(alike).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -188,7 +253,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         index = entries.repartition("token").dropDuplicates(["token", "key"]).withColumn("of", F.count(F.lit(1)).over(by_token)).where("of > 1").withColumn("block", block)
         # The original of a family of copies has most of its prefix on long lists: it comes first.
         index = index.withColumn("listed", F.sum("of").over(Window.partitionBy("key")))
-        head = F.first("key").over(Window.partitionBy("token", "block").orderBy(F.desc("listed"), "key"))
+        head = F.first("key").over(Window.partitionBy("token", F.floor(F.log2(F.col("n").cast("double")))).orderBy(F.desc("listed"), "key"))
         index = written(index.withColumn("head", head), "index")
         more = {r[0]: r[1] for r in index.where(F.col("of") > LONG_LIST).groupBy("token").agg(F.max("of")).limit(MOST_SENT).collect() if heavy.get(r[0], 0) == 0}
         if not more or turn == ROUNDS - 1 or len(heavy) + len(more) > MOST_SENT:
@@ -202,8 +267,8 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     # First round: each set against the first of the block with which it shares most lists.
     best = F.max(F.struct("c", "other"))
     pairs = index.where("head <> key").groupBy("key", F.col("head").alias("other")).agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(best.alias("x"))
-    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), pool), "first")
-    is_link = F.col("common") * 100 >= F.col("union") * LEAST
+    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), pool, differences=True), "first")
+    is_link = F.col("common") * (100 + LEAST) >= (F.col("n_a") + F.col("n_b")) * LEAST
     links = first.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     known = components(links)
 
@@ -224,29 +289,30 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
             break
         known = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more_links))
 
-    # Last round: across components only, where blocks, places, distances and counts allow a link.
-    far = first.select(F.col("a").alias("head"), F.col("b").alias("key"), (1 - F.col("common") / F.col("union")).alias("far"))
-    e = rooted_index().join(far, ["head", "key"], "left")
-    e = e.withColumn("far", F.when(F.col("head") == F.col("key"), F.lit(0.0)).otherwise(F.col("far")))
-    e = e.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token)}).where("lo <> hi").select("token", "key", "n", "pos", "root", "block", "head", "far")
-    e = written(e, "across")
-    a = e.select("token", "block", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root", "head", "far")], F.lit(True).alias("same"))
+    # Last round: across components only. Sets with the same near first set go by their differences to
+    # it, all others by their prefixes, where sizes, places and counts allow a link.
+    center = first.where("more is not null").select(F.col("a").alias("center"), F.col("b").alias("key"))
+    e = rooted_index().join(center, "key", "left")
+    e = e.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token), "c_lo": F.min(F.coalesce("center", "key")).over(by_token), "c_hi": F.max(F.coalesce("center", "key")).over(by_token)})
+    e = written(e.where("lo <> hi and c_lo <> c_hi").select("token", "key", "n", "pos", "root", "block", "center"), "across")
+    a = e.select("token", "block", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root", "center")], F.lit(True).alias("same"))
     a = a.unionByName(a.withColumns({"block": F.col("block") + 1, "same": F.lit(False)}))
-    b = e.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root", "head", "far")])
+    b = e.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root", "center")])
     bound = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     may = (
         (F.col("root_a") != F.col("root_b"))
         & (~F.col("same") | (F.col("key_a") < F.col("key_b")))
         & (100 * F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b"))
         & ((F.least("pos_a", "pos_b") + bound) * (100 + LEAST) >= LEAST * (F.col("n_a") + F.col("n_b")))
-        & ((F.col("head_a") != F.col("head_b")) | F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - LEAST / 100 + 1e-9, F.lit(True)))
+        & ~F.coalesce(F.col("center_a") == F.col("center_b"), F.lit(False))
     )
     # Shared shingles among the first ones, and all that can stand behind them, must do for a link.
     behind = F.greatest(F.ceil(F.col("n_a") * LEAST / 100), F.ceil(F.col("n_b") * LEAST / 100)) - 1
     enough = (F.col("c") + behind) * (100 + LEAST) >= LEAST * (F.col("n_a") + F.col("n_b"))
     counted = a.join(b, ["token", "block"]).where(may).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = counted.where(enough).select("a", "b").join(both_ways, ["a", "b"], "left_anti")
+    alike = _by_differences(first, known)
+    rest = counted.where(enough).select("a", "b").unionByName(alike).distinct().join(both_ways, ["a", "b"], "left_anti")
     second = _compared(written(rest, "rest"), pool).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     whole = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
 
