@@ -68,7 +68,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", out_col: str = "quali
     ``out_col`` is replaced. No rows move between tasks.
     """
     keep = [c for c in docs.columns if c != out_col]
-    words, lines, grams, places, feats = fresh(docs, "words", "lines", "grams", "places", "features")
+    words, lines, grams, places, feats, mark = fresh(docs, "words", "lines", "grams", "places", "features", "mark")
     text = F.coalesce(col(text_col), F.lit(""))
     one = docs.select(
         *[col(c) for c in keep],
@@ -99,6 +99,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", out_col: str = "quali
             F.expr(f"CAST(size(filter({words}, w -> translate(lower(w), '{marks}', '') IN ({stop}))) AS BIGINT)").alias("n_stop_words"),
             F.size(lines).cast("long").alias("n_lines"),
         ).alias(feats),
+        # Never negative. It keeps a filter on the verdict above this projection: pushed below, the
+        # filter would take in the arrays' expressions and sort all windows again for each window.
+        F.monotonically_increasing_id().alias(mark),
     )
     f = {name: F.col(f"{feats}.{name}") for name in _LONG}
     per_word = F.greatest(f["n_words"], F.lit(1))
@@ -110,4 +113,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", out_col: str = "quali
         "dup_line_ratio": f["n_dup_lines"] / F.greatest(f["n_lines"], F.lit(1)),
     }
     failed = compile_rules(rules, f)
-    return four.select(*[col(c) for c in keep], F.struct(*[f[name].alias(name) for name in _LONG], failed.alias("failed"), (F.size(failed) == 0).alias("kept")).alias(out_col))
+    return four.select(*[col(c) for c in keep], F.struct(*[f[name].alias(name) for name in _LONG], failed.alias("failed"), ((F.size(failed) == 0) & (F.col(mark) >= 0)).alias("kept")).alias(out_col))
