@@ -96,6 +96,13 @@ def test_repeated_starts():
     assert sorted(zip(item.tolist(), start.tolist(), strict=True)) == sorted(x for v in seen.values() if len(v) > 1 for x in v)
 
 
+def test_quality_filter_stays_above_the_features(spark):
+    judged = quality_rules(spark.createDataFrame(some_docs(), SCHEMA))
+    kept = judged.where("quality.kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judged.collect() if r.quality.kept)
+
+
 def test_html():
     page = "<body><nav>a</nav><article><h1>T &amp; x</h1><p>one<br>two <b>bold<p>three</p><form>f</form><div class='comments'>c</div></article><footer>z</footer>"
     assert html.extract("h", page, set()) == "T & x\n\none two bold\n\nthree"
