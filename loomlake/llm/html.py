@@ -1,7 +1,8 @@
 """Main text of web pages: subtrees that recur across pages of a host are deleted.
 
 A page becomes a small tree. Each subtree has a hash of its tag, classes, text and children. Spark
-counts on how many pages of its host each hash stands; hashes on many pages are the host's template.
+counts on how many pages of its host each hash stands; hashes on many pages are the host's template,
+and the text is what the body holds without them. ``article`` and ``main`` guard what is in them.
 Elements that are never article text by their tag or class go without being counted.
 """
 
@@ -45,12 +46,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "off", "digest", "size")
+    __slots__ = ("tag", "names", "parent", "parts", "off", "holds", "inside", "digest", "size")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.parts: list = []  # strings and nodes, in order
         self.off = False
+        self.holds = False  # a guard, or something above one
+        self.inside: Node | None = None  # the guard around it
         self.digest = b""
         self.size = 0
 
@@ -124,8 +127,12 @@ def _marked(node: Node) -> bool:
     return bool(node.names) and any(w in MARKS or w == "hidden" for w in re.split(r"[\s_-]+", node.names))
 
 
-def prepare(top: Node) -> tuple[list[Node], Node]:
-    """Marks what its tag or class rules out, hashes all subtrees; all nodes, and the article's root."""
+def prepare(top: Node) -> tuple[list[Node], bool]:
+    """Marks what its tag or class rules out, hashes all subtrees; all nodes, and whether any is a guard.
+
+    Guards are the outermost ``article`` elements with text, and ``main`` where it holds none of them.
+    What holds a guard stays; what is inside one goes only as a container on most pages.
+    """
     nodes: list[Node] = []
     todo = [top]
     while todo:
@@ -133,52 +140,46 @@ def prepare(top: Node) -> tuple[list[Node], Node]:
         nodes.append(x)
         x.off = x.tag in NEVER or x.tag != "article" and x.tag not in ("html", "body", "main") and _marked(x)
         todo.extend(p for p in x.parts if isinstance(p, Node))
-    roots = [x for x in nodes if x.tag == "article" and not _under_off(x) and _outermost(x, "article")] or [x for x in nodes if x.tag == "main" and not _under_off(x)]
-    root = max(reversed(roots), key=_length, default=top) if roots else top
     for x in reversed(nodes):  # children come after their parents
         h = hashlib.blake2b(f"{x.tag} {x.names}".encode("utf-8", "replace"), digest_size=8)
         for p in x.parts:
             if isinstance(p, Node):
                 h.update(b"<" + p.digest)
-                x.size += p.size
+                x.size += 0 if p.off else p.size
             else:
                 t = SPACE.sub(" ", p).strip()
                 h.update(b'"' + t.encode("utf-8", "replace"))
                 x.size += len(t)
         x.digest = h.digest()
+    guards = _guards([x for x in nodes if x.tag in ("article", "main") and x.size and not any(p.off for p in _upward(x))])
+    for g in guards:
+        g.inside = g
+        for p in _upward(g):
+            p.holds = True
     for x in nodes:
-        if x.tag == "header" and not _within(x, root):
-            x.off = True
-    return nodes, root
-
-
-def _outermost(x: Node, tag: str) -> bool:
-    p = x.parent
-    while p is not None:
-        if p.tag == tag:
-            return False
-        p = p.parent
-    return True
+        if x.inside is None and x.parent is not None:
+            x.inside = x.parent.inside
+    return nodes, bool(guards)
 
 
-def _under_off(x: Node | None) -> bool:
+def _upward(x: Node | None) -> Iterator[Node]:
+    """The node and all above it."""
     while x is not None:
-        if x.off:
-            return True
+        yield x
         x = x.parent
-    return False
 
 
-def _within(x: Node | None, root: Node) -> bool:
-    while x is not None:
-        if x is root:
-            return True
-        x = x.parent
-    return False
+def _guards(found: list[Node]) -> list[Node]:
+    articles = [x for x in found if x.tag == "article" and not any(p.tag == "article" for p in _upward(x.parent))]
+    around = {id(p) for x in articles for p in _upward(x)}
+    return articles + [x for x in found if x.tag == "main" and id(x) not in around and not any(p.tag in ("article", "main") for p in _upward(x.parent))]
 
 
-def _length(x: Node) -> int:
-    return sum(_length(p) if isinstance(p, Node) else len(p) for p in x.parts if not (isinstance(p, Node) and p.off))
+def _counted(x: Node) -> bool:
+    """Whether the pages of its host decide on this node; inside a guard only on containers."""
+    if x.off or x.holds or not x.size or x.tag in ("#page", "html", "body"):
+        return False
+    return x.inside is None or x.tag in BLOCK and x.tag not in PARAGRAPH
 
 
 def _key(host: bytes, x: Node) -> int:
@@ -186,30 +187,32 @@ def _key(host: bytes, x: Node) -> int:
 
 
 def subtree_keys(host: str | None, page: str) -> tuple[set[int], set[int]]:
-    """Keys of the subtrees outside the article, and of containers inside it."""
-    nodes, root = prepare(parse(page))
+    """Keys of the subtrees outside all guards, and of containers inside them."""
+    top = parse(page)
+    prepare(top)
     name = (host or "").encode()
     outer, inner = set(), set()
-    for x in nodes:
-        if x.size == 0 or x.tag in ("#page", "html", "body", "head") or x is root:
-            continue
-        if root.tag != "#page" and _within(x, root):
-            if x.tag in BLOCK and x.tag not in PARAGRAPH:
-                inner.add(_key(name, x))
-        elif not _within(root, x) or root.tag == "#page":
-            outer.add(_key(name, x))
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        if _counted(x):
+            (outer if x.inside is None else inner).add(_key(name, x))
+        todo.extend(p for p in x.parts if isinstance(p, Node) and not p.off)
     return outer, inner
 
 
 def extract(host: str | None, page: str, template: set[int]) -> str:
-    """Blocks of the article in page order, joined by two line ends."""
-    nodes, root = prepare(parse(page))
+    """Blocks of the body in page order without the template, joined by two line ends.
+
+    Outside the guards of a page all of the template goes; inside a guard, and on a page without
+    one, only what is at most half of the text there.
+    """
+    top = parse(page)
+    nodes, guarded = prepare(top)
     name = (host or "").encode()
-    half = root.size / 2
-    for x in nodes:
-        if not x.off and x is not root and x.size and x.size <= half and x.tag not in ("#page", "html", "body") and _key(name, x) in template:
-            inside = root.tag != "#page" and _within(x, root)
-            x.off = not inside or x.tag in BLOCK and x.tag not in PARAGRAPH
+    for x in nodes if template else ():
+        if _counted(x) and (guarded and x.inside is None or x.size <= (x.inside or top).size / 2):
+            x.off = _key(name, x) in template
     blocks: list[str] = []
     run: list[str] = []
 
@@ -220,7 +223,7 @@ def extract(host: str | None, page: str, template: set[int]) -> str:
                 blocks.append(t)
             run.clear()
 
-    todo: list = [root]
+    todo: list = [top]
     while todo:
         x = todo.pop()
         if x is None:
@@ -263,10 +266,10 @@ def _keys(host_col: str, html_col: str):
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
-    """``pages`` with ``text``: the article without templates, boilerplate and markup.
+    """``pages`` with ``text``: the body without templates, boilerplate and markup.
 
     Defined cases: null and empty html give an empty text; pages without a host share the null host;
-    a page without ``article`` or ``main`` is taken from its whole body; repeated pages are counted
+    every page is taken from its whole body, with or without ``article`` or ``main``; repeated pages are counted
     and extracted alike; texts of any length are taken whole; an empty table gives no rows; other
     columns stay, one named like ``out_col`` is replaced. Template hashes are sent to all tasks only
     up to ``most_sent`` of them; beyond, each page gets its own by a join.
