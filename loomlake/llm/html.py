@@ -3,7 +3,8 @@
 A page becomes a small tree. Each subtree has a hash of its tag, classes, text and children. Spark
 counts on how many pages of its host each hash stands; hashes on many pages are the host's template,
 and the text is what the body holds without them. ``article`` and ``main`` guard what is in them.
-Elements that are never article text by their tag or class go without being counted.
+Elements that are never article text by their tag go without being counted; those marked by their
+class do if their share of the text, a guard beside them or the counts confirm it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .util import col, fresh, row_hash
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
 #: Inside the article only a container (no paragraph or heading) that stands on most pages goes.
 INNER_PAGES, INNER_SHARE = 5, 0.6
+#: A marked subtree with so much of the text around it at most goes without being counted.
+MARKED_SHARE = 0.25
 #: Template hashes that go to every task (8 bytes each); above, they are joined to the pages.
 MOST_SENT = 1_000_000
 
@@ -37,7 +40,7 @@ PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcapt
 #: A start tag closes the open elements of this kind, up to the nearest holder.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot article section div main body html".split())
-#: Words in a class or id that mark what is no article text.
+#: Whole classes, ids or roles that mark what may be no article text; the page or its host must confirm it.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social comment comments respond reply replies disqus related newsletter subscribe signup promo popup modal overlay widget".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -46,12 +49,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "off", "holds", "inside", "digest", "size")
+    __slots__ = ("tag", "names", "parent", "parts", "off", "marked", "holds", "inside", "digest", "size")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.parts: list = []  # strings and nodes, in order
         self.off = False
+        self.marked = False
         self.holds = False  # a guard, or something above one
         self.inside: Node | None = None  # the guard around it
         self.digest = b""
@@ -124,21 +128,23 @@ def _names(attributes: str) -> str:
 
 
 def _marked(node: Node) -> bool:
-    return bool(node.names) and any(w in MARKS or w == "hidden" for w in re.split(r"[\s_-]+", node.names))
+    return bool(node.names) and any(w in MARKS or w == "hidden" for w in node.names.split())
 
 
 def prepare(top: Node) -> tuple[list[Node], bool]:
     """Marks what its tag or class rules out, hashes all subtrees; all nodes, and whether any is a guard.
 
     Guards are the outermost ``article`` elements with text, and ``main`` where it holds none of them.
-    What holds a guard stays; what is inside one goes only as a container on most pages.
+    What holds a guard stays; what is inside one goes only as a container on most pages. Marks of class
+    act on what is small for the text around it, or stands beside a guard without being the longer prose.
     """
     nodes: list[Node] = []
     todo = [top]
     while todo:
         x = todo.pop()
         nodes.append(x)
-        x.off = x.tag in NEVER or x.tag != "article" and x.tag not in ("html", "body", "main") and _marked(x)
+        x.off = x.tag in NEVER
+        x.marked = x.tag not in ("html", "body", "main", "article") and _marked(x)
         todo.extend(p for p in x.parts if isinstance(p, Node))
     for x in reversed(nodes):  # children come after their parents
         h = hashlib.blake2b(f"{x.tag} {x.names}".encode("utf-8", "replace"), digest_size=8)
@@ -151,17 +157,35 @@ def prepare(top: Node) -> tuple[list[Node], bool]:
                 h.update(b'"' + t.encode("utf-8", "replace"))
                 x.size += len(t)
         x.digest = h.digest()
-    guards = _guards([x for x in nodes if x.tag in ("article", "main") and x.size and not any(p.off for p in _upward(x))])
+    found = [x for x in nodes if x.tag in ("article", "main") and x.size]
+    guards = _guards([x for x in found if not any(p.off and p.tag != "form" for p in _upward(x))] or found)
     for g in guards:
         g.inside = g
         for p in _upward(g):
-            p.holds = True
+            p.holds, p.off = True, False
     for x in nodes:
         if x.inside is None and x.parent is not None:
             x.inside = x.parent.inside
+    rest = sum(g.size for g in guards)
+    for x in nodes:
+        if x.marked and not x.off and not x.holds:
+            x.off = x.size <= MARKED_SHARE * (x.inside or top).size if x.inside or not guards else x.size <= rest or not _prose(x)
+        elif x.tag == "form" and x.off and not guards and x.size > top.size:  # around the page itself
+            x.off = False
+            top.size += x.size
     return nodes, bool(guards)
 
 
+def _prose(x: Node) -> bool:
+    """Whether a node holds several paragraphs."""
+    todo, n = [x], 0
+    while todo and n < 2:
+        y = todo.pop()
+        n += y.tag == "p"
+        todo.extend(p for p in y.parts if isinstance(p, Node))
+    return n >= 2
+
+
 def _upward(x: Node | None) -> Iterator[Node]:
     """The node and all above it."""
     while x is not None:
@@ -205,13 +229,13 @@ def extract(host: str | None, page: str, template: set[int]) -> str:
     """Blocks of the body in page order without the template, joined by two line ends.
 
     Outside the guards of a page all of the template goes; inside a guard, and on a page without
-    one, only what is at most half of the text there.
+    one, only what is marked or at most half of the text there.
     """
     top = parse(page)
     nodes, guarded = prepare(top)
     name = (host or "").encode()
     for x in nodes if template else ():
-        if _counted(x) and (guarded and x.inside is None or x.size <= (x.inside or top).size / 2):
+        if _counted(x) and (x.marked or guarded and x.inside is None or x.size <= (x.inside or top).size / 2):
             x.off = _key(name, x) in template
     blocks: list[str] = []
     run: list[str] = []

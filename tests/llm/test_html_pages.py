@@ -1,4 +1,4 @@
-from loomlake.llm.html import main_text
+from loomlake.llm.html import extract, main_text
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -13,3 +13,17 @@ def test_counts_decide_beside_articles(spark):
     page = "<body>{same}<header><h1>Head {k}</h1></header><div>Lead {k}</div><article><p>First part {k}</article><article><p>Second {k}</article></body>"
     got = texts(spark, [("a", page.format(same=same, k=k)) for k in range(6)])
     assert got == [f"Head {k}\n\nLead {k}\n\nFirst part {k}\n\nSecond {k}" for k in range(6)]
+
+
+def test_marks_need_confirming():
+    body = "<p>Some words of the text.</p><p>And more of them, to the end.</p>"
+    plain = "Some words of the text.\n\nAnd more of them, to the end."
+    for wrap in ("div class='layout has-sidebar'", "div class='content no-comments'", "div class='overflow-hidden'", "div class='widget'", "div id='menu'", "form action='/'", "div hidden"):
+        end = f"</{wrap.split()[0]}>"
+        assert extract("a", f"<body><{wrap}><article>{body}</article>{end}</body>", set()) == plain
+    assert extract("a", f"<body><div class='layout has-sidebar'>{body}</div></body>", set()) == plain
+    assert extract("a", f"<body><form action='/'>{body}</form><p>End.</body>", set()) == plain + "\n\nEnd."
+    assert extract("a", f"<body>{body}<form action='/'>Search</form></body>", set()) == plain
+    assert extract("a", f"<body><div class='related'>{body}</div></body>", set()) == plain
+    assert extract("a", f"<article>{body}<section id='related-work'><p>Others</section><figure class='banner-image'><p>It</figure></article>", set()) == plain + "\n\nOthers\n\nIt"
+    assert extract("a", f"<article>{body}<div class='box share'>Share</div></article><div class='ad'>Buy this now, " + "or this, " * 30 + "</div>", set()) == plain
