@@ -1,7 +1,7 @@
 """Main text of web pages: subtrees that recur across pages of a host are deleted.
 
 A page becomes a small tree. Each subtree has a hash of its tag, classes, text and children. Spark
-counts on how many pages of its host each hash stands; hashes on many pages are the host's template,
+counts on how many different pages of its host each hash stands; hashes on many pages are the host's template,
 and the text is what the body holds without them. ``article`` and ``main`` guard what is in them.
 Elements that are never article text by their tag go without being counted; those marked by their
 class do if their share of the text, a guard beside them or the counts confirm it.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import col, fresh, row_hash
+from .util import col, fresh, row_hash, written
 
 #: A subtree outside the article is template from so many pages and this share of its host's pages on.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
@@ -210,19 +210,28 @@ def _key(host: bytes, x: Node) -> int:
     return int.from_bytes(hashlib.blake2b(host + b" " + x.digest, digest_size=8).digest(), "little", signed=True)
 
 
-def subtree_keys(host: str | None, page: str) -> tuple[set[int], set[int]]:
-    """Keys of the subtrees outside all guards, and of containers inside them."""
+def subtree_keys(host: str | None, page: str) -> tuple[set[int], set[int], int]:
+    """Keys of the subtrees outside all guards, and of containers inside them; a hash of the content.
+
+    The content is the text in the guards, or that of a page without one; copies of a page share it.
+    """
     top = parse(page)
-    prepare(top)
+    _, guarded = prepare(top)
     name = (host or "").encode()
     outer, inner = set(), set()
+    content = hashlib.blake2b(digest_size=8)
     todo = [top]
     while todo:
         x = todo.pop()
         if _counted(x):
             (outer if x.inside is None else inner).add(_key(name, x))
-        todo.extend(p for p in x.parts if isinstance(p, Node) and not p.off)
-    return outer, inner
+        for p in reversed(x.parts):
+            if isinstance(p, Node):
+                if not p.off:
+                    todo.append(p)
+            elif x.inside is not None or not guarded:
+                content.update(b" " + SPACE.sub(" ", p).strip().encode("utf-8", "replace"))
+    return outer, inner, int.from_bytes(content.digest(), "little", signed=True)
 
 
 def extract(host: str | None, page: str, template: set[int]) -> str:
@@ -273,18 +282,21 @@ def host_of(url: Column) -> Column:
 def _keys(host_col: str, html_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[int] = []
-            inner: list[bool] = []
+            rows: list = []
+            inner: list = []
+            contents: list[int] = []
             hosts: list = []
             places: list[int] = []
             for k, (host, page) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                a, b = subtree_keys(host.as_py(), page.as_py() or "")
-                rows += [*a, *b]
-                inner += [False] * len(a) + [True] * len(b)
-                hosts += [host.as_py()] * (len(a) + len(b))
-                places += [k] * (len(a) + len(b))
+                a, b, content = subtree_keys(host.as_py(), page.as_py() or "")
+                n = len(a) + len(b) + 1  # a row without a key stands for the page itself
+                rows += [*a, *b, None]
+                inner += [False] * len(a) + [True] * len(b) + [None]
+                contents += [content] * n
+                hosts += [host.as_py()] * n
+                places += [k] * n
             ids = batch.column(2).take(pa.array(places, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, pa.int64()), pa.array(inner, pa.bool_()), ids], names=["host", "key", "inner", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(rows, pa.int64()), pa.array(inner, pa.bool_()), pa.array(contents, pa.int64()), ids], names=["host", "key", "inner", "content", "row"])
 
     return run
 
@@ -293,8 +305,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ou
     """``pages`` with ``text``: the body without templates, boilerplate and markup.
 
     Defined cases: null and empty html give an empty text; pages without a host share the null host;
-    every page is taken from its whole body, with or without ``article`` or ``main``; repeated pages are counted
-    and extracted alike; texts of any length are taken whole; an empty table gives no rows; other
+    every page is taken from its whole body, with or without ``article`` or ``main``; copies of a page
+    count once on their host, by the content, and are extracted alike; texts of any length are taken whole; an empty table gives no rows; other
     columns stay, one named like ``out_col`` is replaced. Template hashes are sent to all tasks only
     up to ``most_sent`` of them; beyond, each page gets its own by a join.
     """
@@ -302,11 +314,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ou
     pages = pages.drop(out_col) if out_col not in (url_col, html_col) else pages
     host, row, found = fresh(pages, "host", "row", "found")
     keyed = pages.withColumns({host: host_of(col(url_col)), row: row_hash(pages, 5)})
-    keys = keyed.select(host, html_col, row).mapInArrow(_keys(host, html_col), "host string, key bigint, inner boolean, row bigint")
-    per_key = keys.groupBy("host", "key", "inner").agg(F.count(F.lit(1)).alias("n"))
-    per_host = keyed.groupBy(F.col(host).alias("h")).agg(F.count(F.lit(1)).alias("of"))
+    keys = keyed.select(host, html_col, row).mapInArrow(_keys(host, html_col), "host string, key bigint, inner boolean, content bigint, row bigint")
+    counts = keys.select("host", "key", "inner", "content").distinct().groupBy("host", "key", "inner").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.where(F.col("key").isNull() | (F.col("n") >= LEAST_PAGES)), "subtrees")
+    per_host = counts.where(F.col("key").isNull()).select(F.col("host").alias("h"), F.col("n").alias("of"))
     many = ((~F.col("inner")) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("of"))) | (F.col("inner") & (F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("of")))
-    template = per_key.where(F.col("n") >= LEAST_PAGES).join(per_host, F.col("host").eqNullSafe(F.col("h"))).where(many).select("key").distinct()
+    template = counts.where(F.col("key").isNotNull()).join(per_host, F.col("host").eqNullSafe(F.col("h"))).where(many).select("key").distinct()
     some = template.limit(most_sent + 1).collect()
     schema = T.StructType([*[f for f in pages.schema.fields], T.StructField(out_col, T.StringType())])
     if len(some) <= most_sent:

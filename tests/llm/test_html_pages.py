@@ -27,3 +27,13 @@ def test_marks_need_confirming():
     assert extract("a", f"<body><div class='related'>{body}</div></body>", set()) == plain
     assert extract("a", f"<article>{body}<section id='related-work'><p>Others</section><figure class='banner-image'><p>It</figure></article>", set()) == plain + "\n\nOthers\n\nIt"
     assert extract("a", f"<article>{body}<div class='box share'>Share</div></article><div class='ad'>Buy this now, " + "or this, " * 30 + "</div>", set()) == plain
+
+
+def test_copies_count_once(spark):
+    body = "<p>The one text that was copied.</p><p>It has a second part.</p><p>And a third one.</p>"
+    plain = "The one text that was copied.\n\nIt has a second part.\n\nAnd a third one."
+    inner = "<article><div>{}</div><ul><li>And its list</ul></article>".format(body)
+    pages = [("a", f"<body><!-- {k} -->{body}</body>") for k in range(4)] + [("a", f"<body><p>Page {k}</p><p>It has a second part.</p></body>") for k in range(1)]
+    pages += [("b", f"<nav>{k}</nav>{inner}<div>Part {k}</div>") for k in range(6)]
+    got = texts(spark, pages)
+    assert got == [plain] * 4 + [f"Page {k}\n\nIt has a second part." for k in range(1)] + [f"{plain}\n\nAnd its list\n\nPart {k}" for k in range(6)]
