@@ -225,7 +225,7 @@ def _by_differences(first: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", root_col: str | None = None) -> DataFrame:
     """``docs`` with ``n_shingles`` (long) and ``component_id``, the least id that links can reach.
 
     Defined cases: null and empty texts, and texts without words, have the empty set and are linked
@@ -233,10 +233,12 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     its words; equal texts are one class (ties and repeated rows share a component); a null id is
     passed over when the least is sought, but where all are null; texts count whole; an empty table
     gives no rows; columns named like the outputs are replaced, all others stay. No pair is dropped.
+    Ids may be null or repeat over components; ``root_col`` names a further column that never does:
+    the key of the component itself, null for the empty set.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_shingles", "component_id")
-    kname, found_id = fresh(docs, "key", "component")
+    kname, found_id, found_root = fresh(docs, "key", "component", "component_root")
     key = F.unhex(F.md5(F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8")))
     texts = docs.select(col(text_col).alias("text"), key.alias("key"))
 
@@ -320,10 +322,11 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     classes = docs.select(key.alias("key"), col(id_col).alias("id")).groupBy("key").agg(F.min("id").alias("id"))
     rooted = classes.join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_key = written(rooted.join(least, "root").select(F.col("key").alias(kname), F.col("component_id").alias(found_id)), "components")
+    by_key = written(rooted.join(least, "root").select(F.col("key").alias(kname), F.col("component_id").alias(found_id), *([F.col("root").alias(found_root)] if root_col else [])), "components")
     counted = docs.withColumns({kname: key, "n_shingles": _counter(col(text_col))})
     own = F.when(F.col("n_shingles") > 0, F.col(found_id)).otherwise(col(id_col))
-    return counted.join(by_key, kname, "left").select(*[col(c) for c in docs.columns], "n_shingles", own.alias("component_id"))
+    roots = [F.when(F.col("n_shingles") > 0, F.col(found_root)).alias(root_col)] if root_col else []
+    return counted.join(by_key, kname, "left").select(*[col(c) for c in docs.columns], "n_shingles", own.alias("component_id"), *roots)
 
 
 @F.pandas_udf(T.LongType())

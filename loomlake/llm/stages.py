@@ -11,7 +11,7 @@ from .mixing import repeated
 from .quality import quality_rules
 from .queries import SHARDS, mixed_documents
 from .sharding import shard_rows
-from .util import col, fresh
+from .util import col, fresh, row_hash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id.
+    """One document of each group of near copies: that of the least id, null last, then of the least row hash.
 
-    Documents without words are in no group and stay. Rows that repeat an id stay once.
+    Groups are told apart by their component, so null ids and ids that repeat in different groups
+    lose nothing. Documents without words are in no group and stay, equal rows of them once.
     """
     keyed = docs if "component_id" not in docs.columns and "n_shingles" not in docs.columns else docs.drop("component_id", "n_shingles")
-    found = jaccard_components(keyed)
-    kept = found.where((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull())
-    return kept.dropDuplicates(["doc_id"]).select(*[col(c) for c in keyed.columns])
+    root, row, chosen = fresh(keyed, "root", "row", "chosen")
+    found = jaccard_components(keyed, root_col=root).withColumn(row, row_hash(keyed, 3))
+    least = found.where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    whole = F.struct(*[col(c) for c in keyed.columns])
+    return least.groupBy(F.col(root), F.when(F.col(root).isNull(), F.col(row))).agg(F.min_by(whole, F.col(row)).alias(chosen)).select(f"{chosen}.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
