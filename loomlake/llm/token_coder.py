@@ -1,10 +1,11 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at a time.
 
 Each block is coded by itself from a fresh state, so that it can be read alone. For each id the
-order-2 and order-1 contexts name the id that last followed them, with a confidence. Their counts by
-confidence are added (mixed) to give the odds that either is right; if neither is, the id is coded by
-an order-0 model: adaptive counts of its four-bit digits under the digits before. The blocks of a batch
-are the lanes of numpy arrays, so that one step codes one id of each block.
+order-2 and order-1 contexts name the id that last followed them, with a confidence. The odds that
+either is right, by their confidences, are mixed into one law of three outcomes; if neither is, the id
+is coded by an order-0 model: adaptive laws of its four four-bit digits under the digits before, so all
+16 bits are predicted. Laws are cumulative counts of a fixed total that move towards what was seen.
+The blocks of a batch are the lanes of numpy arrays: one step codes one id of each block.
 """
 
 from __future__ import annotations
@@ -14,135 +15,206 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-MAGIC = b"LTB1"
+#: Ids of a block, and the least number that is no id.
+BLOCK, ID_LIMIT = 4096, 1 << 16
+MAGIC = b"LTB2"
 _HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids, bytes of the code
-_M, _TOP, _BOTTOM = 0xFFFFFFFF, 1 << 24, 1 << 16
-_SLOTS = 4096
-_LIMIT = 4096
+_WINDOW, _WORD = (1 << 32) - 1, 1 << 16
+_BITS = 14
+_TOTAL = 1 << _BITS
+_SLOTS = 1024
+#: Confidences: hits in a row, up to the last but one; the last stands for a context not seen yet.
+_SURE, _UNSEEN = 6, 7
+#: Laws of each digit: contexts are the digits before, three of them by a hash.
+_LAWS = (1, 16, 256, 256)
+#: How fast laws move: by 2**-rate of the way.
+_RATE, _RATE_KIND = 4, 5
+#: Steps between two looks at the room that is left, and words that an id may take.
+_LOOK, _MOST = 64, 6
+
+_DIGIT = np.arange(16)
+#: Where the ends of the 16 symbols of a law move to when a symbol was seen; all sizes stay positive.
+_TO = np.where(_DIGIT[None, :] < _DIGIT[:, None], _DIGIT[None, :] + 1, _TOTAL - 15 + _DIGIT[None, :]).astype(np.int16)
+_TO_KIND = np.array([[_TOTAL - 2, _TOTAL - 1], [1, _TOTAL - 1], [1, 2]], np.int32)
+
+
+class _Some:
+    """The state of some lanes, taken out of the coder and given back."""
+
+    __slots__ = ("lane", "low", "range", "at", "part")
+
+    def __init__(self, coder: _Coder, lane):
+        self.lane = lane
+        self.low, self.range, self.at = coder.low[lane], coder.range[lane], coder.at[lane]
 
 
 class _Coder:
-    def __init__(self, lanes: int, codes: list[bytes] | None, room: int):
-        self.low = np.zeros(lanes, np.int64)
-        self.range = np.full(lanes, _M, np.int64)
+    """A range coder for each lane: 32-bit window, 16-bit words, carries go back into words written."""
+
+    def __init__(self, lanes: int, steps: int, codes: list[bytes] | None):
+        self.low = np.zeros(lanes, np.uint64)  # of a reader: the code less the low end
+        self.range = np.full(lanes, _WINDOW, np.uint64)
         self.at = np.zeros(lanes, np.int64)
-        self.reads = codes is not None
         if codes is None:
-            self.bytes = np.zeros((lanes, room), np.uint8)
-        else:
-            self.bytes = np.zeros((lanes, max(len(c) for c in codes) + 8), np.uint8)
-            for k, c in enumerate(codes):
-                self.bytes[k, : len(c)] = np.frombuffer(c, np.uint8)
-            self.code = np.zeros(lanes, np.int64)
-            for k in range(4):
-                self.code = self.code << 8 | self.bytes[:, k]
-            self.at += 4
-
-    def step(self, lane: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Codes ``symbol`` by ``counts`` (a row for each lane), or finds it out if this coder reads."""
-        ends = np.cumsum(counts, axis=1)
-        low, rng = self.low[lane], self.range[lane] // ends[:, -1]
-        row = np.arange(len(lane))
-        if symbol is None:
-            value = ((self.code[lane] - low) & _M) // rng
-            symbol = np.minimum((ends <= value[:, None]).sum(axis=1), counts.shape[1] - 1)
-        own = counts[row, symbol]
-        low = (low + (ends[row, symbol] - own) * rng) & _M
-        rng = rng * own
-        self.low[lane], self.range[lane] = low, rng
-        k = np.arange(len(lane))
-        while True:
-            top = (low ^ ((low + rng) & _M)) < _TOP
-            small = ~top & (rng < _BOTTOM)
-            go = top | small
-            if not go.any():
-                return symbol
-            k, low, rng, small = k[go], low[go], rng[go], small[go]
-            rng = np.where(small, -low & (_BOTTOM - 1), rng)
-            mine = lane[k]
-            if self.reads:
-                self.code[mine] = (self.code[mine] << 8 | self.bytes[mine, np.minimum(self.at[mine], self.bytes.shape[1] - 1)]) & _M
-            else:
-                self.bytes[mine, self.at[mine]] = low >> 24
-            self.at[mine] += 1
-            low, rng = low << 8 & _M, rng << 8 & _M
-            self.low[mine], self.range[mine] = low, rng
+            self.words = np.zeros((lanes, steps // 2 + _LOOK * _MOST + 8), np.uint16)
+            return
+        self.words = np.zeros((lanes, max(len(c) for c in codes) // 2 + _MOST), np.uint16)
+        for k, c in enumerate(codes):
+            self.words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
+        self.low = self.words[:, 0].astype(np.uint64) << 16 | self.words[:, 1]
+        self.at += 2
+
+    def grow(self) -> None:
+        if self.at.max(initial=0) + _LOOK * _MOST >= self.words.shape[1]:
+            self.words = np.concatenate((self.words, np.zeros((len(self.words), self.words.shape[1] // 2), np.uint16)), axis=1)
+
+    def put(self, s: _Some, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        r = s.range >> bits
+        low, rng = s.low + r * start.astype(np.uint64), r * size.astype(np.uint64)
+        over = np.flatnonzero(low > _WINDOW)
+        if len(over):
+            low[over] &= _WINDOW
+            lane, at = s.lane[over], s.at[over] - 1
+            while len(lane):
+                self.words[lane, at] += 1
+                on = self.words[lane, at] == 0
+                lane, at = lane[on], at[on] - 1
+        go = np.flatnonzero(rng < _WORD)
+        if len(go):
+            at, out = s.at[go], low[go]
+            self.words[s.lane[go], at] = out >> 16
+            low[go], rng[go], s.at[go] = (out & 0xFFFF) << 16, rng[go] << 16, at + 1
+        s.low, s.range = low, rng
+
+    def ask(self, s: _Some, bits: int) -> np.ndarray:
+        """Where in the law's total the next symbol lies."""
+        s.part = s.range >> bits
+        return np.minimum(s.low // s.part, (1 << bits) - 1).astype(np.int32)
+
+    def drop(self, s: _Some, start: np.ndarray, size: np.ndarray) -> None:
+        low, rng = s.low - s.part * start.astype(np.uint64), s.part * size.astype(np.uint64)
+        go = np.flatnonzero(rng < _WORD)
+        if len(go):
+            at = s.at[go]
+            word = self.words[s.lane[go], np.minimum(at, self.words.shape[1] - 1)]  # a broken code may run out
+            low[go], rng[go], s.at[go] = low[go] << 16 | word, rng[go] << 16, at + 1
+        s.low, s.range = low, rng
+
+    def back(self, s: _Some, lane) -> None:
+        self.low[lane], self.range[lane], self.at[lane] = s.low, s.range, s.at
 
     def end(self) -> list[bytes]:
         row = np.arange(len(self.low))
-        for k in range(4):
-            self.bytes[row, self.at + k] = self.low >> (24 - 8 * k) & 0xFF
-        return [self.bytes[k, : n + 4].tobytes() for k, n in enumerate(self.at)]
+        self.words[row, self.at], self.words[row, self.at + 1] = self.low >> 16, self.low & 0xFFFF
+        return [self.words[k, : n + 2].astype("<u2").tobytes() for k, n in enumerate(self.at)]
+
+
+def _below(ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many of the 16 ends of each row are at most the value: the sum of eight truths times two."""
+    truths = (ends <= value.astype(np.int16)[:, None]).view(np.uint64)
+    return (((truths[:, 0] + truths[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
 
 
 def _run(sizes: np.ndarray, ids: np.ndarray | None, codes: list[bytes] | None) -> tuple[np.ndarray, list[bytes]]:
-    """Lanes come longest first. ``ids``: a row for each lane, None to read ``codes``."""
+    """Lanes come longest first. ``ids``: a column for each lane, None to read ``codes``."""
     lanes, steps = len(sizes), int(sizes.max(initial=0))
-    coder = _Coder(lanes, codes, steps * 9 + 16)
-    out = np.zeros((lanes, steps), np.int64) if ids is None else ids
-    # Id and confidence that each context saw last, by order.
-    last = [np.full((lanes, _SLOTS), -1, np.int32) for _ in range(2)]
-    sure = [np.zeros((lanes, _SLOTS), np.int8) for _ in range(2)]
-    # Counts of: order 2 right, order 1 right, neither; by the confidence of each order.
-    right = [np.full((lanes, 5, 3), 4, np.int64) for _ in range(2)]
-    digits = [np.full((lanes, 16**k, 16), 2, np.uint16) for k in range(3)]
-    even = np.full((1, 16), 1, np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    coder = _Coder(lanes, steps, codes)
+    reads = ids is None
+    out = np.zeros((steps, lanes), np.uint16) if reads else ids
+    # What each context saw last: the id, and above it its confidence.
+    last = [np.full(lanes * _SLOTS, _UNSEEN << 16, np.int32) for _ in range(2)]
+    # Ends of: order 2 right, order 1 right; by the confidence of each order. Whole rows move as one number.
+    kinds = [np.tile(np.array([_TOTAL // 3, 2 * _TOTAL // 3], np.int32), (lanes * (_UNSEEN + 1), 1)) for _ in range(2)]
+    kind_rows = [x.view(np.int64).ravel() for x in kinds]
+    law = np.dtype((np.void, 32))
+    digits = [np.tile(((_DIGIT + 1) * (_TOTAL // 16)).astype(np.int16), (lanes * n, 1)) for n in _LAWS]
+    digit_rows = [x.view(law).ravel() for x in digits]
+    every = np.arange(lanes)
+    edges = np.zeros((4, lanes), np.int64)
+    edges[3] = 2 * _TOTAL
+    flat = edges.ravel()
+    one, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
         n = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t, side="left"))
-        lane = np.arange(n)
-        a, b = one[:n], two[:n]
-        slots = ((a * 40503 + b * 30011 + (a * b >> 5)) & (_SLOTS - 1), (a * 40503 >> 2) & (_SLOTS - 1))
-        guess = [last[k][lane, slots[k]] for k in range(2)]
-        conf = [np.where(guess[k] < 0, 4, sure[k][lane, slots[k]]).astype(np.int64) for k in range(2)]
-        counts = right[0][lane, conf[0]] + right[1][lane, conf[1]]
-        counts[:, 0] = np.where(guess[0] < 0, 0, counts[:, 0])
-        counts[:, 1] = np.where((guess[1] < 0) | (guess[1] == guess[0]), 0, counts[:, 1])
-        x = out[:n, t] if ids is not None else None
-        kind = None if x is None else np.where(guess[0] == x, 0, np.where(guess[1] == x, 1, 2))
-        kind = coder.step(lane, counts, kind)
-        if x is None:
-            x = np.where(kind == 0, guess[0], guess[1]).astype(np.int64)
+        if not reads and t % _LOOK == 0:
+            coder.grow()
+        lane = every[:n]
+        hashed = one[:n] * 40503
+        slots = (lane * _SLOTS + ((hashed + before[:n] * 5) >> 3 & (_SLOTS - 1)), lane * _SLOTS + (hashed >> 2 & (_SLOTS - 1)))
+        before[:n] = hashed
+        seen = [last[k].take(slots[k]) for k in range(2)]
+        guess = [s & 0xFFFF for s in seen]
+        conf = [s >> 16 for s in seen]
+        at = [lane * (_UNSEEN + 1) + conf[k] for k in range(2)]
+        ends = [kinds[k].take(at[k], axis=0) for k in range(2)]
+        edges[1:3, :n] = (ends[0] + ends[1]).T
+        s = _Some(coder, slice(0, n))
+        s.lane = lane
+        if reads:
+            value = coder.ask(s, _BITS + 1)
+            kind = (value >= edges[1, :n]).astype(np.int64) + (value >= edges[2, :n])
+        else:
+            x = out[t, :n].astype(np.int32)
+            right = [guess[k] + (conf[k] // _UNSEEN << 16) == x for k in range(2)]
+            kind = 2 - np.maximum(2 * right[0], right[1])
+        place = kind * lanes + lane
+        start = flat.take(place)
+        size = flat.take(place + lanes) - start
+        if reads:
+            coder.drop(s, start, size)
+            x = np.where(kind == 0, guess[0], guess[1])
+        else:
+            coder.put(s, start, size, _BITS + 1)
+        coder.back(s, slice(0, n))
+        to = _TO_KIND.take(kind, axis=0)
+        for k in range(2):
+            kind_rows[k][at[k]] = (ends[k] + ((to - ends[k]) >> _RATE_KIND)).view(np.int64).ravel()
         miss = np.flatnonzero(kind == 2)
         if len(miss):
+            s = _Some(coder, miss)
+            row = np.arange(len(miss)) * 16
             value = np.zeros(len(miss), np.int64)
-            for k in range(4):
-                digit = None if ids is None else x[miss] >> (12 - 4 * k) & 15
-                if k < 3:
-                    model = digits[k][miss, value]
-                    digit = coder.step(miss, model.astype(np.int64), digit)
-                    digits[k][miss, value, digit] += 24
-                    full = miss[model.sum(axis=1, dtype=np.int64) > _LIMIT]
-                    if len(full):
-                        at = value[np.searchsorted(miss, full)]
-                        digits[k][full, at] = (digits[k][full, at] >> 1) + 1
+            own = None if reads else x.take(miss).astype(np.int64)
+            for k, count in enumerate(_LAWS):
+                at_law = miss * count + (value if k < 3 else (value * 40503 >> 4) & (count - 1))
+                law_ends = digits[k].take(at_law, axis=0)
+                digit = _below(law_ends, coder.ask(s, _BITS)) if reads else own >> (12 - 4 * k) & 15
+                its = row + digit
+                end = law_ends.take(its).astype(np.int64)
+                start = law_ends.take(np.maximum(its - 1, 0)) * (digit > 0)
+                if reads:
+                    coder.drop(s, start, end - start)
                 else:
-                    digit = coder.step(miss, np.broadcast_to(even, (len(miss), 16)), digit)
+                    coder.put(s, start, end - start, _BITS)
+                digit_rows[k][at_law] = (law_ends + ((_TO.take(digit, axis=0) - law_ends) >> _RATE)).view(law).ravel()
                 value = value << 4 | digit
-            if ids is None:
+            coder.back(s, miss)
+            if reads:
                 x[miss] = value
         for k in range(2):
-            right[k][lane, conf[k], kind] += 8
-            over = np.flatnonzero(right[k][lane, conf[k]].sum(axis=1) > _LIMIT)
-            if len(over):
-                right[k][over, conf[k][over]] = (right[k][over, conf[k][over]] >> 1) + 1
-            hit = guess[k] == x
-            sure[k][lane, slots[k]] = np.where(hit, np.minimum(conf[k] + 1, 3), 0)
-            last[k][lane, slots[k]] = x
-        if ids is None:
-            out[:n, t] = x
-        two[:n], one[:n] = a.copy(), x
-    return out, coder.end() if codes is None else []
+            more = np.minimum(conf[k] + 1, _SURE) * (guess[k] + (conf[k] // _UNSEEN << 16) == x)
+            last[k][slots[k]] = x | more << 16
+        if reads:
+            out[t, :n] = x
+        one[:n] = x
+    return out, [] if reads else coder.end()
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 65536, ``BLOCK`` at most) as bytes with header and checksum."""
+    """Each block of ids as bytes with header and checksum.
+
+    Raises ValueError for an id that 16 bits do not hold, and for a block of more than ``BLOCK`` ids.
+    """
     sizes = np.array([len(b) for b in blocks], np.int64)
+    if sizes.max(initial=0) > BLOCK:
+        raise ValueError(f"a block holds {BLOCK} ids at most")
+    for b in blocks:
+        if len(b) and not 0 <= int(b.min()) <= int(b.max()) < ID_LIMIT:
+            raise ValueError(f"ids must be from 0 to {ID_LIMIT - 1}")
     order = np.argsort(-sizes, kind="stable")
-    ids = np.zeros((len(blocks), int(sizes.max(initial=0))), np.int64)
+    ids = np.zeros((int(sizes.max(initial=0)), len(blocks)), np.uint16)
     for row, k in enumerate(order):
-        ids[row, : sizes[k]] = blocks[k]
+        ids[: sizes[k], row] = blocks[k]
     _, codes = _run(sizes[order], ids, None)
     out: list[bytes] = [b""] * len(blocks)
     for row, k in enumerate(order):
@@ -158,7 +230,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         if len(c) < _HEADER.size:
             raise ValueError("block is cut off")
         magic, n, crc, size = _HEADER.unpack_from(c)
-        if magic != MAGIC or len(c) != _HEADER.size + size or n > BLOCK:
+        if magic != MAGIC or len(c) != _HEADER.size + size or n > BLOCK or size < 4 or size % 2:
             raise ValueError("not a block of token ids")
         heads.append((n, crc))
     if not coded:
@@ -168,7 +240,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     ids, _ = _run(sizes[order], None, [coded[k][_HEADER.size :] for k in order])
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for row, k in enumerate(order):
-        out[k] = ids[row, : sizes[k]].astype("<u4")
+        out[k] = ids[: sizes[k], row].astype("<u4")
         if zlib.crc32(out[k].tobytes()) != heads[k][1]:
             raise ValueError("checksum of a block is wrong")
     return out

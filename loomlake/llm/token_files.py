@@ -6,9 +6,12 @@ not at all, on any store. Each block holds an index of its pieces of documents a
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,45 +21,113 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .token_coder import BLOCK, decode, encode
+from .token_coder import BLOCK, ID_LIMIT, decode, encode
 from .util import col, written
 
 #: Blocks that are coded side by side, and bytes of text for each part.
-LANES = 1536
-PART_BYTES = 16 << 20
-_CACHE = 500_000
+LANES = 1024
+PART_BYTES = 10 << 20
+#: Different pre-tokens whose ids a worker keeps, about 200 bytes each; the rest are encoded each time.
+_CACHE = 150_000
+#: Pre-tokens that go to the library as one text, and parts whose sizes one task adds up.
+_JOINED, _PARTS = 1000, 1024
+#: Characters of a text that is split as a whole.
+_LONG = 1 << 20
 _PIECE = np.dtype([("ordinal", "<i8"), ("id", "<i8"), ("n", "<u4"), ("null", "u1"), ("first", "u1"), ("last", "u1")])
 
 
 class Ids:
-    """Ids of texts: the library encodes each different pre-token once."""
+    """Ids of whole texts, as the library gives them with ``add_special_tokens=False``.
+
+    Where the file's pre-tokenizer is the byte-level pattern alone, ids of a text are those of its
+    pre-tokens, and the library encodes each frequent one once. A text that holds a string of an added
+    token goes to the library whole, as do all texts of any other kind of file.
+    """
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library would only add to memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > ID_LIMIT:
+            raise ValueError(f"the vocabulary has more than {ID_LIMIT} ids")
+        plan = json.loads(self.tokenizer.to_str())
+        before = plan.get("pre_tokenizer") or {}
+        self.by_words = plan.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+        self.added = [t["content"] for t in plan.get("added_tokens") or ()]
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pre-tokens; those of a blank and letters are joined, as the library parts them again."""
+        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        alone = [p for p in new if p[0] != " " or not p[1:].isalpha()]
+        groups = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            of = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
+            if len(of) != len(group) or not of.all():
+                alone += group
+                continue
+            ids, ends = np.array(e.ids, "<u2").tobytes(), np.cumsum(of * 2).tolist()
+            yield from zip(group, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+        for p, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, "<u2").tobytes()
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 16-bit numbers."""
+        whole = [k for k, t in enumerate(texts) if not self.by_words or any(a in t for a in self.added)]
+        out: list[bytes] = [b""] * len(texts)
+        for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u2").tobytes()
+        skip = set(whole)
+        short = [k for k, t in enumerate(texts) if k not in skip and len(t) <= _LONG]
+        for k, ids in zip(short, self._looked_up([self.pattern.findall(texts[k]) for k in short]), strict=True):
+            out[k] = ids
+        for k in skip.symmetric_difference(range(len(texts))).difference(short):  # a long text, some at a time
+            found, ids = (m[0] for m in self.pattern.finditer(texts[k])), []
+            while some := list(islice(found, _LONG // 8)):
+                ids += self._looked_up([some])
+            out[k] = b"".join(ids)
+        return out
+
+    def _looked_up(self, parts: list[list[str]]) -> list[bytes]:
+        known: dict[str, bytes] = self.known
+        new = {p for x in parts for p in x}.difference(known)
+        if new:
+            more = dict(self._encode(list(new)))
+            if len(known) + len(more) <= _CACHE:
+                known.update(more)
+            else:
+                known = _Both(known, more)
+        return [b"".join(map(known.__getitem__, x)) for x in parts]
+
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.split(t) for t in texts]
-        new = list({p for x in parts for p in x if p not in self.known})
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list({p for x in parts for p in x})
-        known = self.known
-        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        return [np.array([i for p in x for i in known[p]], np.int64) for x in parts]
+class _Both(dict):
+    """What is kept, and behind it what holds for these texts only."""
+
+    def __init__(self, kept: dict, more: dict):
+        super().__init__(more)
+        self.kept = kept
+
+    def __missing__(self, key: str) -> bytes:
+        return self.kept[key]
+
+
+#: The encoder of each file; workers that take several tasks keep it.
+_encoders: dict[str, Ids] = {}
 
 
 def _writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(path)
+        if path not in _encoders:
+            _encoders[path] = Ids(path)
+        ids_of = _encoders[path]
+        end = np.array([end_id], "<u2").tobytes()
         part, seq, ordinal = 0, 0, 0
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
         pieces: list[list[tuple]] = []
         used = BLOCK
 
@@ -75,8 +146,8 @@ def _writer(path: str, end_id: int):
             step = 256
             for a in range(0, batch.num_rows, step):
                 texts = [t or "" for t in batch.column(1).slice(a, step).to_pylist()]
-                for key, ids in zip(batch.column(0).slice(a, step).to_pylist(), ids_of.of(texts), strict=True):
-                    ids = np.append(ids, end_id)
+                for key, coded in zip(batch.column(0).slice(a, step).to_pylist(), ids_of.of(texts), strict=True):
+                    ids = np.frombuffer(coded + end, "<u2")
                     at = 0
                     while at < len(ids):
                         if used == BLOCK:
@@ -88,9 +159,9 @@ def _writer(path: str, end_id: int):
                         pieces[-1].append((ordinal, key or 0, n, key is None, at == 0, at + n == len(ids)))
                         at += n
                         used += n
+                        if len(held) > LANES:
+                            yield give(LANES)
                     ordinal += 1
-                    if len(held) > LANES:
-                        yield give(LANES)
         if held:
             yield give(len(held))
 
@@ -101,40 +172,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Writes the ids of every whole text, ``end_id`` after each, in ascending order of ``id_col``.
 
     Defined cases: a null text is empty and gives the end id alone; null ids come first; equal ids
-    stand next to each other in no set order; texts of any length go over as many blocks as they
-    need; an empty table gives an empty file set; other columns are not written.
+    (ties, repeated rows) stand next to each other, in the order of a hash of their texts, and may go
+    over several parts; texts of any length go over as many blocks as they need; an empty table gives
+    an empty file set; other columns are not written, whatever their names. A vocabulary or end id
+    that 16 bits do not hold is a ValueError.
     """
+    if not 0 <= end_id < ID_LIMIT:
+        raise ValueError(f"end_id must be from 0 to {ID_LIMIT - 1}")
     total = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     parts = int(total // PART_BYTES) + 1
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text").asc())
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows.withColumn("part", F.spark_partition_id()).mapInArrow(_writer(tokenizer, end_id), "part int, seq bigint, block binary").write.option("compression", "none").parquet(path)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, LANES):
-            blocks = batch.column(2).slice(a, LANES).to_pylist()
-            found, codes = [], []
-            for b in blocks:
-                (n,) = struct.unpack_from("<I", b)
-                found.append(np.frombuffer(b, _PIECE, n, 4))
-                codes.append(b[4 + n * _PIECE.itemsize :])
-            rows: list[tuple] = []
-            for k, (pieces, ids) in enumerate(zip(found, decode(codes), strict=True)):
-                at = 0
-                for p in pieces:
-                    n = int(p["n"])
-                    data = ids[at : at + n].tobytes()
-                    rows.append((batch.column(0)[a + k].as_py(), int(p["ordinal"]), None if p["null"] else int(p["id"]), batch.column(1)[a + k].as_py(), n, zlib.crc32(data), data))
-                    at += n
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["part", "ordinal", "id", "seq", "n", "crc", "ids"])
-
-
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(part, ordinal, id, seq, n, crc, ids): a row for each piece of a document in a block."""
-    return spark.read.schema("part int, seq bigint, block binary").parquet(path).mapInArrow(_reader, "part int, ordinal bigint, id bigint, seq bigint, n bigint, crc bigint, ids binary")
+def _reader(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, LANES):
+                blocks = batch.column(2).slice(a, LANES).to_pylist()
+                found, codes = [], []
+                for b in blocks:
+                    (n,) = struct.unpack_from("<I", b)
+                    found.append(np.frombuffer(b, _PIECE, n, 4))
+                    codes.append(b[4 + n * _PIECE.itemsize :])
+                rows: list[tuple] = []
+                for k, (pieces, ids) in enumerate(zip(found, decode(codes), strict=True)):
+                    at, of = 0, (batch.column(0)[a + k].as_py(), batch.column(1)[a + k].as_py())
+                    for ordinal, key, n, null, _, _ in pieces.tolist():
+                        data = ids[at : at + n].tobytes()
+                        rows.append((of[0], ordinal, None if null else key, of[1], n, zlib.crc32(data), *([data] if with_ids else [])))
+                        at += n
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 6 + with_ids]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["part", "ordinal", "id", "seq", "n", "crc", "ids"][: len(kinds)])
+
+    return run
+
+
+def read_pieces(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(part, ordinal, id, seq, n, crc, ids): a row for each piece of a document in a block.
+
+    ``ordinal`` counts documents within the part, ``seq`` its blocks; ``ids`` are little-endian 32-bit
+    numbers. An empty file set gives no rows; a block that is cut off or damaged is a ValueError.
+    """
+    schema = "part int, ordinal bigint, id bigint, seq bigint, n bigint, crc bigint" + (", ids binary" if with_ids else "")
+    return spark.read.schema("part int, seq bigint, block binary").parquet(path).mapInArrow(_reader(with_ids), schema)
 
 
 def _join_crc(pieces: pd.Series) -> pd.Series:
@@ -150,16 +233,24 @@ def _join_crc(pieces: pd.Series) -> pd.Series:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each document, from the decoded ids of the files."""
-    pieces = read_pieces(spark, path).select("part", "ordinal", "id", F.struct("seq", "n", "crc").alias("p"))
+    """(id, start, n_tokens, ids_crc32) of each document, from the decoded ids of the files.
+
+    ``start`` counts the ids of all documents before. Documents of equal or null id have a row each;
+    an empty file set gives no rows.
+    """
+    pieces = read_pieces(spark, path, with_ids=False).select("part", "ordinal", "id", F.struct("seq", "n", "crc").alias("p"))
     docs = pieces.groupBy("part", "ordinal").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("p")).alias("p"))
     joined = F.pandas_udf(_join_crc, T.LongType())
+    docs = docs.withColumn("n_tokens", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    docs = written(docs, "pieces")
     # Most documents are one piece, whose checksum is the whole's.
     whole = docs.where(F.size("p") == 1).withColumn("ids_crc32", F.col("p")[0]["crc"])
     more = docs.where(F.size("p") > 1).withColumn("ids_crc32", joined("p"))
-    docs = whole.unionByName(more).withColumn("n_tokens", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])).drop("p")
-    docs = written(docs, "index")
-    sizes = docs.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))
-    base = sizes.withColumn("base", F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).select("part", "base")
+    docs = whole.unionByName(more).drop("p")
+    # Ids before each part: within its group of parts, and before the group.
+    sizes = written(docs.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("g", F.floor(F.col("part") / _PARTS)), "parts")
+    groups = sizes.groupBy("g").agg(F.sum("n").alias("of")).withColumn("ahead", F.sum("of").over(Window.orderBy("g")) - F.col("of")).select("g", "ahead")
+    within = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
+    base = sizes.withColumn("base", within).join(groups, "g").select("part", (F.col("base") + F.col("ahead")).alias("base"))
     run = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("ordinal"))
     return docs.join(base, "part").select("id", (F.col("base") + run - F.col("n_tokens")).cast("long").alias("start"), "n_tokens", "ids_crc32")
