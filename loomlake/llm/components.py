@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import written
+from .util import discard, located, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,13 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (u, v) but the roots; the root is the least node.
 
     Steps until nothing changes, about the square of the logarithm of the largest component at most;
-    each step is a written table, so that lost executors cost one step.
+    each step is a written table, so that lost executors cost one step. The result reads the last one,
+    which the caller discards; those before are gone.
     """
     edges = written(links.where("u <> v").distinct(), "links")
     state = None
     while True:
-        edges = written(_stars(_stars(edges, True), False), "stars")
+        before, edges = edges, written(_stars(_stars(edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
+        discard(before)
         if tuple(now) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return located(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), edges._loomlake_path)
         state = tuple(now)

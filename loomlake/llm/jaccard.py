@@ -20,16 +20,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
 from .textbytes import LOWER, PrefixHash, chunks, joined, mixed, table, words
-from .util import col, fresh, written
+from .util import col, discard, fresh, written
 
 SHINGLE = 5
 #: The least similarity of a link, in hundredths.
@@ -50,6 +48,14 @@ IS_WORD = table(r"[^\x20\x09-\x0D]")
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for short arrays quicker than the library's way."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; one of all words if there are fewer."""
     data, at = joined(texts, b"\n")
@@ -66,7 +72,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for a, b in zip(doc[:-1], doc[1:], strict=True):
         if b - a >= SHINGLE:
-            out.append(np.unique(several[a : b - SHINGLE + 1]))
+            out.append(distinct(several[a : b - SHINGLE + 1]))
         elif b > a:
             whole = np.array([b - a], np.uint64)
             for k in range(a, b):
@@ -119,6 +125,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(sent):
+    """Entries (token, key, n, pos) of prefixes, and one at pos -1 for each set, under a token of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -130,10 +138,10 @@ def _index(sent):
                     continue
                 seen.add(key)
                 p = prefix(s, sent.value)
-                tokens.append(p)
-                sizes.append(np.full(len(p), len(s), np.int32))
-                places.append(np.arange(len(p), dtype=np.int32))
-                rows.append(np.full(len(p), k, np.int64))
+                tokens += [np.frombuffer(key[:8], np.uint64), p]
+                sizes.append(np.full(len(p) + 1, len(s), np.int32))
+                places.append(np.arange(-1, len(p), dtype=np.int32))
+                rows.append(np.full(len(p) + 1, k, np.int64))
             if len(seen) > 200_000:
                 seen.clear()
             if tokens:
@@ -174,19 +182,26 @@ def _short(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _compared(pairs: DataFrame, some: DataFrame, differences: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, some: DataFrame) -> DataFrame:
     """(a, b, common, n_a, n_b) of each pair of keys, on the sets of the whole texts in ``some``.
 
+    ``pairs`` is a written table: where it is small its size is known, and no text moves.
+    """
+    first = pairs.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return _differ(first.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a"), False)
+
+
+def _differ(both: DataFrame, differences: bool) -> DataFrame:
+    """(a, b, common, n_a, n_b) of each row's two whole texts.
+
     With ``differences`` also the shingles that b has ``more`` than a and ``less`` than a, if they are near.
     """
     schema = "a binary, b binary, common bigint, n_a bigint, n_b bigint" + (", more array<int>, less array<int>" if differences else "")
-    first = pairs.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(differences), schema)
 
 
-def _by_differences(first: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components and the same near first set that may be linked.
+def _by_differences(first: DataFrame, known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of different components and the same near first set that may be linked; tables read.
 
     ``first``: each set's comparison with its first set, with differences; ``known``: (node, root).
     """
@@ -222,7 +237,7 @@ def _by_differences(first: DataFrame, known: DataFrame) -> DataFrame:
     both = pairs.join(lists.select(F.col("key").alias("a"), F.col("all").alias("all_a")), "a").join(lists.select(F.col("key").alias("b"), F.col("all").alias("all_b")), "b")
     # Short hashes of one set may fall together; then the count is not to be trusted, and the pair stays.
     alike = (F.size(F.array_intersect("all_a", "all_b")) >= F.col("need")) | (F.size(F.array_distinct("all_a")) < F.size("all_a")) | (F.size(F.array_distinct("all_b")) < F.size("all_b"))
-    return both.where(alike).select("a", "b")
+    return both.where(alike).select("a", "b"), [near, e]
 
 
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", root_col: str | None = None) -> DataFrame:
@@ -252,24 +267,32 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         entries = texts.mapInArrow(_index(sent), "token bigint, key binary, n int, pos int")
         # Size blocks: partners stand in the same block or the next.
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST))).cast("int")
-        index = entries.repartition("token").dropDuplicates(["token", "key"]).withColumn("of", F.count(F.lit(1)).over(by_token)).where("of > 1").withColumn("block", block)
+        index = entries.repartition("token").dropDuplicates(["token", "key"]).withColumn("of", F.count(F.lit(1)).over(by_token)).where("of > 1 or pos < 0").withColumn("block", block)
         # The original of a family of copies has most of its prefix on long lists: it comes first.
         index = index.withColumn("listed", F.sum("of").over(Window.partitionBy("key")))
         head = F.first("key").over(Window.partitionBy("token", F.floor(F.log2(F.col("n").cast("double")))).orderBy(F.desc("listed"), "key"))
         index = written(index.withColumn("head", head), "index")
         more = {r[0]: r[1] for r in index.where(F.col("of") > LONG_LIST).groupBy("token").agg(F.max("of")).limit(MOST_SENT).collect() if heavy.get(r[0], 0) == 0}
+        sent.unpersist()
         if not more or turn == ROUNDS - 1 or len(heavy) + len(more) > MOST_SENT:
             break
         heavy |= more
-
-    # Whole texts of all that stand on a list, once each; no other text can be linked.
-    listed = index.select("key").distinct()
-    pool = written(texts.join(listed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-
-    # First round: each set against the first of the block with which it shares most lists.
-    best = F.max(F.struct("c", "other"))
-    pairs = index.where("head <> key").groupBy("key", F.col("head").alias("other")).agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(best.alias("x"))
-    first = written(_compared(pairs.select(F.col("x.other").alias("a"), F.col("key").alias("b")), pool, differences=True), "first")
+        discard(index)
+
+    # Whole texts of all that stand on a list, once each, with the first set of the block with which
+    # each shares most lists; no other text can be linked.
+    best = F.max(F.struct("c", "other")).alias("x")
+    shared = index.where("head <> key").groupBy("key", F.col("head").alias("other")).agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(best)
+    listed = written(index.where("pos >= 0").select("key").distinct().join(shared.select("key", "x.other"), "key", "left"), "listed")
+    once = texts.join(listed.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    pool = written(once.join(listed, "key"), "texts")
+    discard(listed)
+
+    # First round: each set against its first set. Texts of first sets alone go by their key once more.
+    firsts = pool.select(F.col("other").alias("key")).where("key is not null").distinct()
+    of_firsts = pool.join(firsts, "key", "left_semi").select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    with_text = pool.where("other is not null").select(F.col("other").alias("a"), F.col("key").alias("b"), F.col("text").alias("text_b"))
+    first = written(_differ(with_text.join(of_firsts, "a"), True), "first")
     is_link = F.col("common") * (100 + LEAST) >= (F.col("n_a") + F.col("n_b")) * LEAST
     links = first.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
     known = components(links)
@@ -279,24 +302,28 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         return index.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     tried = first.select("a", "b")
+    spent = [first]
     for _ in range(TURNS):
         on_list = Window.partitionBy("token", "block").orderBy(F.desc("listed"), "key")
         near = rooted_index().select("key", "root", F.lag("key").over(on_list).alias("other"), F.lag("root").over(on_list).alias("of_other")).where("root <> of_other")
         new = near.select(F.col("other").alias("a"), F.col("key").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-        new = new.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b")
+        new = written(new.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select("x.a", "b"), "new")
         turn_found = written(_compared(new, pool), "turn")
+        discard(new)
+        spent.append(turn_found)
         tried = tried.unionByName(turn_found.select("a", "b"))
         more_links = turn_found.where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if more_links.isEmpty():
             break
-        known = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more_links))
+        before, known = known, components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more_links))
+        discard(before)
 
     # Last round: across components only. Sets with the same near first set go by their differences to
     # it, all others by their prefixes, where sizes, places and counts allow a link.
     center = first.where("more is not null").select(F.col("a").alias("center"), F.col("b").alias("key"))
     e = rooted_index().join(center, "key", "left")
     e = e.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token), "c_lo": F.min(F.coalesce("center", "key")).over(by_token), "c_hi": F.max(F.coalesce("center", "key")).over(by_token)})
-    e = written(e.where("lo <> hi and c_lo <> c_hi").select("token", "key", "n", "pos", "root", "block", "center"), "across")
+    e = written(e.where("lo <> hi and c_lo <> c_hi and pos >= 0").select("token", "key", "n", "pos", "root", "block", "center"), "across")
     a = e.select("token", "block", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root", "center")], F.lit(True).alias("same"))
     a = a.unionByName(a.withColumns({"block": F.col("block") + 1, "same": F.lit(False)}))
     b = e.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root", "center")])
@@ -313,22 +340,23 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     enough = (F.col("c") + behind) * (100 + LEAST) >= LEAST * (F.col("n_a") + F.col("n_b"))
     counted = a.join(b, ["token", "block"]).where(may).groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    alike = _by_differences(first, known)
-    rest = counted.where(enough).select("a", "b").unionByName(alike).distinct().join(both_ways, ["a", "b"], "left_anti")
-    second = _compared(written(rest, "rest"), pool).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    alike, used = _by_differences(first, known)
+    rest = written(counted.where(enough).select("a", "b").unionByName(alike).distinct().join(both_ways, ["a", "b"], "left_anti"), "rest")
+    discard(e, *used, *spent)
+    second = written(_compared(rest, pool).where(is_link).select(F.col("a").alias("u"), F.col("b").alias("v")), "second")
+    discard(rest, pool)
     whole = components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
+    discard(known, second)
 
     # The least id of each class of equal texts, then of each component; only keys and ids move.
     classes = docs.select(key.alias("key"), col(id_col).alias("id")).groupBy("key").agg(F.min("id").alias("id"))
     rooted = classes.join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_key = written(rooted.join(least, "root").select(F.col("key").alias(kname), F.col("component_id").alias(found_id), *([F.col("root").alias(found_root)] if root_col else [])), "components")
-    counted = docs.withColumns({kname: key, "n_shingles": _counter(col(text_col))})
-    own = F.when(F.col("n_shingles") > 0, F.col(found_id)).otherwise(col(id_col))
-    roots = [F.when(F.col("n_shingles") > 0, F.col(found_root)).alias(root_col)] if root_col else []
-    return counted.join(by_key, kname, "left").select(*[col(c) for c in docs.columns], "n_shingles", own.alias("component_id"), *roots)
-
-
-@F.pandas_udf(T.LongType())
-def _counter(texts: pd.Series) -> pd.Series:
-    return pd.Series([len(s) for part in chunks(pa.array(texts, pa.string())) for s in shingle_sets(part)], dtype="int64")
+    sizes = index.where("pos < 0").select("key", F.col("n").cast("long").alias("n_shingles"))
+    by_key = written(rooted.join(least, "root").join(sizes, "key").select(F.col("key").alias(kname), "n_shingles", F.col("component_id").alias(found_id), *([F.col("root").alias(found_root)] if root_col else [])), "components")
+    discard(whole, index)
+    has = F.col("n_shingles").isNotNull()
+    roots = [F.col(found_root).alias(root_col)] if root_col else []
+    found = docs.withColumn(kname, key).join(by_key, kname, "left")
+    own = F.when(has, F.col(found_id)).otherwise(col(id_col)).alias("component_id")
+    return found.select(*[col(c) for c in docs.columns], F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), own, *roots)

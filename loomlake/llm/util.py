@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,15 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is made and set, as in tests, but only for a local master: on
+    a cluster no machine's own folder will do, and it is a RuntimeError.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,7 +52,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomlake/{uuid.uuid4().hex}/{what}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return located(spark.read.schema(df.schema).parquet(path), path)
+
+
+def located(df: DataFrame, path: str | None) -> DataFrame:
+    """``df`` with a note of the written table that it reads."""
+    df._loomlake_path = path
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames of ``written``, once all that reads them has been written.
+
+    The files of shuffles that nothing refers to go too: Spark's cleaner waits for the driver's next
+    collection, which a job of many written tables must not leave to chance.
+    """
+    spark = frames[0].sparkSession
+    jvm = spark._jvm
+    for frame in frames:
+        if path := getattr(frame, "_loomlake_path", None):
+            at = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.java.lang.System.gc()
 
 
 def _has_map(kind: T.DataType) -> bool:
