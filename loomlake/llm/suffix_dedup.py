@@ -3,14 +3,19 @@
 Any two equal strings of ``length`` bytes share their anchor: the place in them whose gram of half that
 length has the least hash. So texts give their anchors (about one in a hundred places), and only
 suffixes that begin at anchors with equal grams can share a string of that length. A stretch around an
-anchor that recurs as a whole is repeated as a whole, which a hash of the stretch tells. The different
-stretches of one gram are compared: the suffixes at their anchors are mergesorted, where prefix
-polynomial hashes and a binary search give the common extension of two suffixes in a logarithmic number
-of steps. Neighbours in that order give the extensions to the right, which are verified byte by byte.
+anchor that recurs as a whole is repeated as a whole, which its gram and a cryptographic digest of its
+bytes tell. The different stretches of one gram are compared: the suffixes at their anchors are
+mergesorted, where prefix polynomial hashes and a binary search give the common extension of two
+suffixes in a logarithmic number of steps. Neighbours in that order give the extensions to the right,
+which are verified byte by byte.
+
+Texts go the same way as sequences of words, each a 64-bit hash, which finds repeated passages of
+``passage`` words whatever their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,26 +25,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .textbytes import PrefixHash, chunks, joined, mixed
-from .util import col, fresh, written
+from .textbytes import PrefixHash, chunks, joined, mixed, table, words
+from .util import col, discard, fresh, written
 
 LENGTH = 400
+#: Words of a passage that is reported where it recurs: over fifty.
+PASSAGE = 51
 #: Stretches that are sorted together; whole groups of equal grams but for longer groups.
 BATCH = 3000
 #: Above so many different stretches of one gram, Spark counts the strings of the group by their hashes.
 MOST_STRETCHES = 20_000
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places that are numbered at once; longer texts go in overlapping pieces.
+_PLACE_BITS = 28
+_PLACE = np.uint64((1 << _PLACE_BITS) - 1)
+_PIECE = 1 << 26
+_OF_WORDS = np.uint64(0xA24BAED4963EE407)
 
+IS_WORD = table(r"[^\x20\x09-\x0D]")
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """text, first and last window start, anchor (within the text), gram hash, stretch hash."""
-    data, at = joined(texts)
+
+def word_units(texts: list[bytes]) -> list[np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of each text as 64-bit hashes."""
+    data, at = joined(texts, b"\n")
+    start, end = words(data, IS_WORD)
+    h = PrefixHash(data).of(start, end) if len(start) else np.zeros(0, np.uint64)
+    edge = np.searchsorted(start, at)
+    return [h[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def laid_out(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences in one array with a gap of one after each, and where each begins; one more for the end."""
+    kind = some[0].dtype if some else np.uint8
+    gap = np.zeros(1, kind)
+    at = np.zeros(len(some) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in some], out=at[1:])
+    return np.concatenate([y for x in some for y in (x, gap)]) if some else np.zeros(0, kind), at
+
+
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """text, first and last window start, anchor (within the text), gram hash, stretch digest.
+
+    ``data`` holds bytes or word hashes of several texts, which begin at ``at`` and end one before the next.
+    """
     half = length // 2
     wide = length - half + 1
     n = len(data) - half + 1
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < wide:
         return none
+    if n > 1 << _PLACE_BITS:
+        raise ValueError("too many places at once")
     h = PrefixHash(data)
     place = np.arange(n)
     gram = h.of(place, place + half)
@@ -58,8 +93,20 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
     last = np.concatenate((edge[1:], [len(starts)])) - 1
     lo, hi, a, t = starts[edge], starts[last], least[edge], text[edge]
-    whole = mixed(h.of(lo, hi + length) * np.uint64(3) + (a - lo).astype(np.uint64))
-    return t, lo - at[t], hi - at[t], a - at[t], gram[a], whole
+    view, unit = memoryview(data).cast("B"), data.itemsize
+    digest = b"".join([hashlib.blake2b(view[i * unit : j * unit], digest_size=8, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(lo.tolist(), (hi + length).tolist(), (a - lo).tolist(), strict=True)])
+    return t, lo - at[t], hi - at[t], a - at[t], gram[a], np.frombuffer(digest, np.uint64)
+
+
+def all_anchors(units: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """The anchors of texts of any length: long ones in pieces, each with the windows that begin in it."""
+    out = [anchors(*laid_out([x if len(x) <= _PIECE else x[:0] for x in units]), length)]
+    for k, x in enumerate(units):
+        for begin in range(0, len(x) if len(x) > _PIECE else 0, _PIECE):
+            piece = x[begin : begin + _PIECE + length - 1]
+            t, lo, hi, a, gram, whole = anchors(*laid_out([piece]), length)
+            out.append((t + k, lo + begin, hi + begin, a + begin, gram, whole))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _extension(h: PrefixHash, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -130,12 +177,12 @@ def _verified(data: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray)
     return size
 
 
-def repeated_starts(stretches: list[bytes], off: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(stretches: list[np.ndarray], off: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(stretch, window start within it) of all strings that recur in another stretch of the group.
 
     ``off``: where the anchor stands in each stretch.
     """
-    data, at = joined(stretches)
+    data, at = laid_out(stretches)
     h = PrefixHash(data)
     lo, end = at[:-1], at[1:] - 1
     anchor = lo + off
@@ -174,7 +221,7 @@ def repeated_starts(stretches: list[bytes], off: np.ndarray, group: np.ndarray,
     return item[where], start[where]
 
 
-def _find(length: int):
+def _find(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -188,13 +235,17 @@ def _find(length: int):
                     seen.add(x)
                 if len(seen) > 200_000:
                     seen.clear()
-                text, lo, hi, a, gram, whole = anchors(new, length)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(text)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "lo", "hi", "a", "gram", "whole"])
+                for of_words in (False, True):
+                    units = word_units(new) if of_words else [np.frombuffer(t, np.uint8) for t in new]
+                    text, lo, hi, a, gram, whole = all_anchors(units, passage if of_words else length)
+                    if of_words:
+                        gram = gram ^ _OF_WORDS
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(text)), pa.array(np.full(len(text), of_words)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "w", "lo", "hi", "a", "gram", "whole"])
 
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, passage: int):
     """Stretches out of texts; each text once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,78 +257,97 @@ def _cut(length: int):
                 if key in seen:
                     continue
                 seen.add(key)
-                b = text.as_py().encode()
-                out += [(p["gram"], p["whole"], key, p["lo"], p["a"] - p["lo"], p["known"], b[p["lo"] : p["hi"] + length]) for p in parts.as_py()]
+                b, parts = text.as_py().encode(), parts.as_py()
+                units = word_units([b])[0] if any(p["w"] for p in parts) else None
+                for p in parts:
+                    cut = units[p["lo"] : p["hi"] + passage].tobytes() if p["w"] else b[p["lo"] : p["hi"] + length]
+                    out.append((p["gram"], p["whole"], key, p["w"], p["lo"], p["a"] - p["lo"], p["known"], cut))
             if len(seen) > 200_000:
                 seen.clear()
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "whole", "key", "lo", "off", "known", "bytes"])
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "whole", "key", "w", "lo", "off", "known", "bytes"])
 
     return run
 
 
-def _sort(length: int):
+def _units(cut: bytes, of_words: bool) -> np.ndarray:
+    return np.frombuffer(cut, np.uint64 if of_words else np.uint8)
+
+
+def _sort(length: int, passage: int):
     """Rows come ordered by gram; whole groups are worked on, several at a time."""
 
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[:4]: r for r in rows}.values())  # tasks may give a stretch twice
-        gram = np.array([r[0] for r in rows], np.int64)
-        group = np.unique(gram, return_inverse=True)[1]
-        item, start = repeated_starts([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), group, length)
-        fresh_ = ~np.array([r[5] for r in rows], bool)[item]
-        item, start = item[fresh_], start[fresh_]
-        by = np.lexsort((start, item))
-        item, start = item[by], start[by]
-        edge = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1)))) if len(item) else np.zeros(0, np.int64)
-        last = np.concatenate((edge[1:], [len(item)])).astype(np.int64) - 1 if len(edge) else edge
-        base = np.array([r[3] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i in item[edge]], pa.binary()), pa.array(base[item[edge]] + start[edge]), pa.array(base[item[edge]] + start[last] + length)], names=["key", "start", "end"])
+    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[:5]: r for r in rows}.values())  # tasks may give a stretch twice
+        for of_words in (False, True):
+            some, size = [r for r in rows if r[3] is of_words], passage if of_words else length
+            if not some:
+                continue
+            gram = np.array([r[0] for r in some], np.int64)
+            group = np.unique(gram, return_inverse=True)[1]
+            item, start = repeated_starts([_units(r[7], of_words) for r in some], np.array([r[5] for r in some], np.int64), group, size)
+            fresh_ = ~np.array([r[6] for r in some], bool)[item]
+            item, start = item[fresh_], start[fresh_]
+            by = np.lexsort((start, item))
+            item, start = item[by], start[by]
+            edge = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1)))) if len(item) else np.zeros(0, np.int64)
+            last = np.concatenate((edge[1:], [len(item)])).astype(np.int64) - 1 if len(edge) else edge
+            base = np.array([r[4] for r in some], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([some[i][2] for i in item[edge]], pa.binary()), pa.array(np.full(len(edge), of_words)), pa.array(base[item[edge]] + start[edge]), pa.array(base[item[edge]] + start[last] + size)], names=["key", "w", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if len(held) >= BATCH and row[0] != held[-1][0]:
-                    yield work(held)
+                    yield from work(held)
                     held = []
                 held.append(row)
         if held:
-            yield work(held)
+            yield from work(held)
 
     return run
 
 
-def _strings(length: int):
+def _strings(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
-                data = np.frombuffer(get["bytes"][k].as_py(), np.uint8)
-                start = np.arange(len(data) - length + 1)
-                one = PrefixHash(data).of(start, start + length)
-                two = PrefixHash(data[::-1].copy()).of(len(data) - start - length, len(data) - start)
+                of_words = get["w"][k].as_py()
+                size = passage if of_words else length
+                data = _units(get["bytes"][k].as_py(), of_words)
+                start = np.arange(len(data) - size + 1)
+                one = PrefixHash(data).of(start, start + size)
+                two = PrefixHash(data[::-1].copy()).of(len(data) - start - size, len(data) - start)
                 lo = get["lo"][k].as_py()
                 same = [get["key"][k].as_py()] * len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(same, pa.binary()), pa.array(lo + start), pa.array([get["known"][k].as_py()] * len(start))], names=["one", "two", "key", "start", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(same, pa.binary()), pa.array([of_words] * len(start)), pa.array(lo + start), pa.array([get["known"][k].as_py()] * len(start))], names=["one", "two", "key", "w", "start", "known"])
 
     return run
 
 
-def _remove(columns: list[str], text_col: str, spans_col: str, length: int):
+def _merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, none beyond ``size``."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        end = min(end, size)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _remove(columns: list[str], text_col: str, spans_col: str, length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            sizes, removed, runs, kept = [], [], [], []
+            sizes, removed, runs, kept, repeated = [], [], [], [], []
             for text, spans in zip(get[text_col], get[spans_col], strict=True):
-                b = (text.as_py() or "").encode()
-                merged: list[list[int]] = []
-                for s in sorted((x["start"], x["end"]) for x in spans.as_py() or ()) if len(b) >= length else ():
-                    end = min(s[1], len(b))
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([s[0], end])
+                b, spans = (text.as_py() or "").encode(), spans.as_py() or ()
+                merged = _merged([(x["start"], x["end"]) for x in spans if not x["w"]], len(b)) if len(b) >= length else []
                 at, parts = 0, []
                 for s, e in merged:
                     parts.append(b[at:s])
@@ -287,51 +357,62 @@ def _remove(columns: list[str], text_col: str, spans_col: str, length: int):
                 removed.append(sum(e - s for s, e in merged))
                 runs.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join(parts))
+                of_words = [(x["start"], x["end"]) for x in spans if x["w"]]
+                n_words = len(b.split()) if of_words else 0
+                repeated.append(sum(e - s for s, e in _merged(of_words, n_words)) if n_words >= passage else 0)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*[get[c] for c in columns], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=[*columns, "n_bytes", "n_removed", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*[get[c] for c in columns], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()), pa.array(repeated, pa.int64())], names=[*columns, "n_bytes", "n_removed", "removed", "kept", "n_passage_words"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed`` (long), ``removed`` (array of start, end) and ``kept`` (binary).
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed`` (long), ``removed`` (array of start, end), ``kept`` (binary)
+    and ``n_passage_words`` (long).
 
     A byte goes if a string of ``length`` bytes over it starts anywhere else too, in the same text or
     another; all strings are judged on the input. ``kept`` may cut a character, as it counts bytes.
+    ``n_passage_words`` counts the words that stand in ``passage`` words which start anywhere else too:
+    it reports passages that are long in words but short of ``length`` bytes, and removes nothing.
     Defined cases: null texts are empty; texts shorter than ``length`` stay whole; equal texts lose
-    all their bytes from ``length`` on, each copy alike (ties, repeated rows); a text may have 256 MB
-    at most; an empty table gives no rows; columns named like the outputs are replaced, others stay.
+    all their bytes from ``length`` on, each copy alike (ties, repeated rows); texts of any length are
+    taken whole; an empty table gives no rows; columns named like the outputs are replaced, others stay.
     """
-    docs = docs.drop("n_bytes", "n_removed", "removed", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "n_passage_words")
     kname, spans_col = fresh(docs, "key", "spans")
     text = F.coalesce(col(text_col), F.lit(""))
     key = F.unhex(F.md5(F.encode(text, "UTF-8")))
-    texts = docs.select(text.alias("text"), key.alias("key")).where(F.octet_length("text") >= length)
-    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(0).cast("long").alias("start"), F.lit(2**40).alias("end"))
+    texts = docs.select(text.alias("text"), key.alias("key")).where(F.octet_length("text") >= min(length, 2 * passage - 1))
+    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.explode(F.array(F.lit(False), F.lit(True))).alias("w"), F.lit(0).cast("long").alias("start"), F.lit(2**40).alias("end"))
 
-    found = texts.mapInArrow(_find(length), "key binary, lo int, hi int, a int, gram bigint, whole bigint")
+    found = texts.mapInArrow(_find(length, passage), "key binary, w boolean, lo int, hi int, a int, gram bigint, whole bigint")
     by_gram, by_whole = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
     several = found.repartition("gram").dropDuplicates(["gram", "key", "lo"]).withColumn("of_gram", F.count(F.lit(1)).over(by_gram)).where("of_gram > 1")
     several = several.withColumns({"of_whole": F.count(F.lit(1)).over(by_whole), "nth": F.row_number().over(by_whole.orderBy("key", "lo"))})
     several = written(several.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_gram)), "anchors")
-    whole = several.where("of_whole > 1").select("key", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
+    size = F.when(F.col("w"), passage).otherwise(length)
+    whole = several.where("of_whole > 1").select("key", "w", F.col("lo").cast("long").alias("start"), (F.col("hi") + size).cast("long").alias("end"))
 
     # One stretch of each kind, cut out of its text.
-    some = several.where("kinds > 1 AND nth = 1").groupBy("key").agg(F.collect_list(F.struct("gram", "whole", "lo", "hi", "a", (F.col("of_whole") > 1).alias("known"))).alias("parts"))
-    cut = texts.join(some, "key").select("text", "key", "parts").mapInArrow(_cut(length), "gram bigint, whole bigint, key binary, lo int, off int, known boolean, bytes binary")
+    some = several.where("kinds > 1 AND nth = 1").groupBy("key").agg(F.collect_list(F.struct("gram", "whole", "w", "lo", "hi", "a", (F.col("of_whole") > 1).alias("known"))).alias("parts"))
+    cut = texts.join(some, "key").select("text", "key", "parts").mapInArrow(_cut(length, passage), "gram bigint, whole bigint, key binary, w boolean, lo int, off int, known boolean, bytes binary")
     long = several.where(F.col("kinds") > MOST_STRETCHES).select("gram").distinct()
-    span = "key binary, start bigint, end bigint"
+    span = "key binary, w boolean, start bigint, end bigint"
+    used = [several]
     if long.isEmpty():
-        parts = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(length), span)
+        parts = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(length, passage), span)
     else:
         cut = written(cut, "stretches")
-        parts = cut.join(long, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(length), span)
-        strings = cut.join(long, "gram", "left_semi").dropDuplicates(["key", "lo"]).mapInArrow(_strings(length), "one bigint, two bigint, key binary, start bigint, known boolean")
-        again = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-        more = strings.where("NOT known").join(again, ["one", "two"]).select("key", "start", (F.col("start") + length).alias("end"))
+        used.append(cut)
+        parts = cut.join(long, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(length, passage), span)
+        strings = cut.join(long, "gram", "left_semi").dropDuplicates(["gram", "key", "lo"]).mapInArrow(_strings(length, passage), "one bigint, two bigint, key binary, w boolean, start bigint, known boolean")
+        again = strings.groupBy("one", "two", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two", "w")
+        more = strings.where("NOT known").join(again, ["one", "two", "w"]).select("key", "w", "start", (F.col("start") + size).alias("end"))
         parts = parts.unionByName(more)
-    spans = copies.unionByName(whole).unionByName(parts).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias(spans_col)).withColumnRenamed("key", kname)
-    with_spans = docs.withColumn(kname, key).join(written(spans, "spans"), kname, "left").drop(kname)
+    spans = copies.unionByName(whole).unionByName(parts).groupBy("key").agg(F.collect_list(F.struct("start", "end", "w")).alias(spans_col)).withColumnRenamed("key", kname)
+    spans = written(spans, "spans")
+    discard(*used)
+    with_spans = docs.withColumn(kname, key).join(spans, kname, "left").drop(kname)
     runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", runs), T.StructField("kept", T.BinaryType())])
-    return with_spans.mapInArrow(_remove(docs.columns, text_col, spans_col, length), schema)
+    outs = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", runs), T.StructField("kept", T.BinaryType()), T.StructField("n_passage_words", T.LongType())]
+    return with_spans.mapInArrow(_remove(docs.columns, text_col, spans_col, length, passage), T.StructType([*docs.schema.fields, *outs]))

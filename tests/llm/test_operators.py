@@ -88,7 +88,7 @@ def test_repeated_starts():
     r = random.Random(2)
     core = bytes(r.randrange(97, 100) for _ in range(60))
     stretches = [bytes(r.randrange(97, 100) for _ in range(9)) + core + bytes(r.randrange(97, 100) for _ in range(9)) for _ in range(40)]
-    item, start = suffix_dedup.repeated_starts(stretches, np.full(40, 39), np.zeros(40, np.int64), 62)
+    item, start = suffix_dedup.repeated_starts([np.frombuffer(x, np.uint8) for x in stretches], np.full(40, 39), np.zeros(40, np.int64), 62)
     seen = {}
     for i, s in enumerate(stretches):
         for a in range(len(s) - 61):
