@@ -43,16 +43,21 @@ HOLDERS = frozenset("ul ol dl table tbody thead tfoot article section div main b
 #: Whole classes, ids or roles that mark what may be no article text; the page or its host must confirm it.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social comment comments respond reply replies disqus related newsletter subscribe signup promo popup modal overlay widget".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Comments, declarations, stray ends, and tags, each read once: a quote after = holds up to the next one.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)(>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=\"']++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = frozenset("class id role hidden aria-hidden".split())
+#: Elements in each other; deeper ones stand beside each other, as in browsers.
+MOST_DEPTH = 512
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "off", "marked", "holds", "inside", "digest", "size")
+    __slots__ = ("tag", "names", "parent", "depth", "parts", "off", "marked", "holds", "inside", "digest", "size")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # strings and nodes, in order
         self.off = False
         self.marked = False
@@ -63,7 +68,10 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A tree of the page; unclosed elements end where HTML ends them, stray end tags are dropped."""
+    """A tree of the page, in time linear in its length.
+
+    Unclosed elements end where HTML ends them, stray end tags and a tag cut off by the end are dropped.
+    """
     top = here = Node("#page", "", None)
     at, end = 0, len(page)
     while at < end:
@@ -75,7 +83,7 @@ def parse(page: str) -> Node:
             here.parts.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or not m[4]:
             continue
         if m[1]:
             x = here
@@ -88,12 +96,10 @@ def parse(page: str) -> Node:
         node = Node(tag, _names(m[3]) if m[3] else "", here)
         here.parts.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             node.parts.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
-        elif tag not in VOID and tag in BLOCK:
+        elif tag not in VOID and (tag in BLOCK or not m[3].rstrip().endswith("/")) and node.depth < MOST_DEPTH:
             here = node  # a slash does not close an element of HTML
     return top
 
@@ -120,10 +126,14 @@ def _before(here: Node, tag: str) -> Node:
 
 def _names(attributes: str) -> str:
     out = []
-    for m in NAMED.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
+    for m in ATTRIBUTE.finditer(attributes):
         kind = m[1].lower()
-        out.append("hidden" if kind == "hidden" or kind == "aria-hidden" and value == "true" else value.lower())
+        if kind in NAMING:
+            value = (m[2] or m[3] or m[4] or "").lower()
+            if kind == "hidden" or kind == "aria-hidden" and value == "true":
+                out.append("hidden")
+            elif kind != "aria-hidden":
+                out.append(value)
     return " ".join(out)
 
 

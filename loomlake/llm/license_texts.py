@@ -61,3 +61,27 @@ SPELLINGS = (
     ("non infringement", "noninfringement"),
     ("https?", "http"),
 )
+
+# SHA-256 digests of the canonical forms of published licences, whole and, where a licence
+# has an appendix on how to apply it, up to the end of its terms.
+DIGESTS = (
+    ("75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6", "Apache-2.0"),
+    ("f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff", "Apache-2.0"),
+    ("08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", "Artistic-1.0-Perl"),
+    ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+    ("94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", "GFDL-1.2"),
+    ("a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", "GFDL-1.3"),
+    ("9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", "GPL-1.0"),
+    ("6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "GPL-1.0"),
+    ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "GPL-2.0"),
+    ("e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "GPL-2.0"),
+    ("9085ee283b8c84517846c5acafee37391c28bb825b7ecec4aaa90768f2f283b0", "GPL-3.0"),
+    ("92f86bbf16b3c7beaf4c1a82ea5d81b358634e9123c8790121ec9fe76310a506", "GPL-3.0"),
+    ("289c8b47fa0ec7e5f22cd33d32feaa06f015b0f2fdb9ad916979b1011ca8c015", "LGPL-2.0"),
+    ("504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260", "LGPL-2.0"),
+    ("5ddd6039d3b090c51328879800301dd19b1ad99e14d00f3c6f221ab45a32db57", "LGPL-2.1"),
+    ("48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "LGPL-2.1"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", "MPL-1.1"),
+    ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", "MPL-2.0"),
+)

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 from .util import col, fresh
 
-#: A line that names a holder and a year, after punctuation has gone.
-HOLDER_LINE = r"^(copyright|c)( c)?( by)? ?(\d{4}|year|yyyy)|^all rights reserved$"
+#: A line that names a holder, with or without a year, and how such a line of a licence's own text goes on.
+HOLDER_LINE = r"^(portions )?(c )?copyright( |$)|^(copyright|c)( c)?( by)? ?(\d{4}|year|yyyy)|^all rights reserved$"
+TEXT_LINE = r"^(portions )?(c )?copyright (holders?|notices?|owners?|laws?|licen[cs]es?|licensed|statements?|interests?|treaty|protection|and|or|in|is|to|of|on|for|as|may)( |$)"
 
 
 def canonical_lines(text: Column) -> Column:
     """Lower case, letters and digits only, one spelling, single blanks, no copyright or empty lines."""
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    x = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit(" copyright "))
+    x = F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", " ")
     for old, new in SPELLINGS:
         x = F.regexp_replace(x, rf"\b{old}\b", new)
     lines = F.transform(F.split(x, "\n"), lambda s: F.trim(s))
-    return F.filter(lines, lambda s: (s != "") & ~s.rlike(HOLDER_LINE))
+    return F.filter(lines, lambda s: (s != "") & (~s.rlike(HOLDER_LINE) | s.rlike(TEXT_LINE)))
 
 
 def digest(lines: Column) -> Column:
@@ -45,7 +47,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", texts: dict[str, str]
     spark = docs.sparkSession
     docs = docs.drop("license_digest", "license_id", "notice_ids")
     lines, d, i = fresh(docs, "lines", "digest", "id")
-    known = known_digests(spark, TEXTS if texts is None else texts)
+    known = known_digests(spark, TEXTS) + list(DIGESTS) if texts is None else known_digests(spark, texts)
     grants = known_digests(spark, NOTICES if notices is None else notices)
     table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias(d), F.lit(b).alias(i)) for a, b in known])).alias("r")).select(f"r.{d}", f"r.{i}")
     by_line = F.create_map(*[F.lit(x) for pair in grants for x in pair])

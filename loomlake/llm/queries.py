@@ -108,7 +108,7 @@ def source_quotas(totals: dict[tuple, int]) -> dict:
     return share_out({s: sizes[s] for s in order}, weights, BUDGET * sum(totals.values()), MOST)
 
 
-def mixed_documents(docs: DataFrame) -> tuple[DataFrame, dict, dict]:
+def mixed_documents(docs: DataFrame, copies_col: str = "copies", taken_col: str = "taken") -> tuple[DataFrame, dict, dict]:
     """The mixture of documents, and sizes and targets of the sources."""
     seen: dict = {}
 
@@ -118,7 +118,7 @@ def mixed_documents(docs: DataFrame) -> tuple[DataFrame, dict, dict]:
         return seen["targets"]
 
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    mixed, _ = mix_sources(docs, F.array("source"), size, quotas, repeats=MOST)
+    mixed, _ = mix_sources(docs, F.array("source"), size, quotas, repeats=MOST, copies_col=copies_col, taken_col=taken_col)
     return mixed, seen["sizes"], seen["targets"]
 
 

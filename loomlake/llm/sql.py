@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 from .quality import RULES, STOP_WORDS, STRIPPED
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -45,29 +45,35 @@ FROM f
 """
 
 
-def _canonical(text: str) -> str:
+#: Lines of a holder, and lines of a licence's own text that begin alike, as RE2 writes them.
+_HOLDER = "^(portions )?(c )?copyright( |$)|^(copyright|c)( c)?( by)? ?([0-9]{4}|year|yyyy)|^all rights reserved$"
+_TEXT = "^(portions )?(c )?copyright (holders?|notices?|owners?|laws?|licen[cs]es?|licensed|statements?|interests?|treaty|protection|and|or|in|is|to|of|on|for|as|may)( |$)"
+
+
+def canonical(text: str) -> str:
     """The canonical form of a known text, worked out apart from the operator."""
-    x = re.sub(r"[^a-z0-9\n]+", " ", text.lower())
+    x = re.sub(r"[^a-z0-9\n]+", " ", text.lower().replace("©", " copyright "))
     for old, new in SPELLINGS:
         x = re.sub(rf"\b{old}\b", new, x)
     lines = [s.strip(" ") for s in x.split("\n")]
-    return " ".join(s for s in lines if s and not re.search(r"^(copyright|c)( c)?( by)? ?(\d{4}|year|yyyy)|^all rights reserved$", s))
+    return " ".join(s for s in lines if s and (not re.search(_HOLDER, s) or re.search(_TEXT, s)))
 
 
 def LICENSES_SQL() -> str:
-    x = "regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+    x = "regexp_replace(replace(lower(coalesce(text, '')), '©', ' copyright '), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
     for old, new in SPELLINGS:
         x = f"regexp_replace({x}, '\\b{old}\\b', '{new}', 'g')"
 
     def values(texts: dict) -> str:
-        return ", ".join(f"('{hashlib.sha256(_canonical(v).encode()).hexdigest()}', '{k}')" for k, v in texts.items())
+        return ", ".join(f"('{hashlib.sha256(canonical(v).encode()).hexdigest()}', '{k}')" for k, v in texts.items())
 
+    given = ", ".join(f"('{d}', '{k}')" for d, k in DIGESTS)
     return f"""
-WITH known(d, id) AS (VALUES {values(TEXTS)}), grants(d, id) AS (VALUES {values(NOTICES)}),
+WITH known(d, id) AS (VALUES {values(TEXTS)}, {given}), grants(d, id) AS (VALUES {values(NOTICES)}),
 c AS (
   SELECT row_number() OVER () AS rid, doc_id,
          list_filter(list_transform(string_split({x}, chr(10)), lambda s: trim(s, ' ')),
-                     lambda s: s <> '' AND NOT regexp_matches(s, '^(copyright|c)( c)?( by)? ?([0-9]{{4}}|year|yyyy)|^all rights reserved$')) AS ls
+                     lambda s: s <> '' AND (NOT regexp_matches(s, '{_HOLDER}') OR regexp_matches(s, '{_TEXT}'))) AS ls
   FROM documents
 ), n AS (
   SELECT rid, string_agg(DISTINCT id, ',' ORDER BY id) AS notices

@@ -37,3 +37,44 @@ def test_copies_count_once(spark):
     pages += [("b", f"<nav>{k}</nav>{inner}<div>Part {k}</div>") for k in range(6)]
     got = texts(spark, pages)
     assert got == [plain] * 4 + [f"Page {k}\n\nIt has a second part." for k in range(1)] + [f"{plain}\n\nAnd its list\n\nPart {k}" for k in range(6)]
+
+
+def test_broken_markup():
+    assert extract("a", "<body><b title=it's>One</b> <p class=\"x>y\" data-a='>'>Two</p></body>", set()) == "One\n\nTwo"
+    assert extract("a", "<p>One</p><a href=\"no end", set()) == "One"
+    assert extract("a", "<p>a < b & 3 <5</ x></p><p title='is hidden'>Two</p><p hidden>No</p>", set()).endswith("Two")
+    deep = "<div>" * 5000 + "<p>In the deep</p>" + "</div>" * 5000
+    assert extract("a", f"<article>{deep}</article><p>After</p>", set()) == "In the deep\n\nAfter"
+
+
+def test_time_is_linear():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        extract("a", page, set())
+        return time.process_time() - began
+
+    for piece in ('<a "', "<a x='", "<", "</b>", "<b><p>", "<!-", "<div class='ad'>", "<article>", "&amp"):
+        small, large = took(piece * 10_000), took(piece * 80_000)
+        assert large < 20 * small + 0.5, piece
+
+
+def test_long_page_and_empty_table(spark):
+    body = "".join(f"<p>Paragraph {k} of it.</p>" for k in range(100_000))
+    assert texts(spark, [("a", f"<body><nav>Menu</nav>{body}</body>")])[0].count("\n\n") == 99_999
+    assert main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "old", "h", "r")], SCHEMA + ", text string, host string, row string")
+    assert [tuple(r) for r in main_text(clash).select("page_id", "host", "row", "text").collect()] == [(1, "h", "r", "x")]
+
+
+def test_templates_on_pages_without_article(spark):
+    """Two hosts, twelve pages each: what recurs goes, by the counts alone, on the small and the joined way."""
+    def page(host, k):
+        return f"<body><div id='x{host}'><p>Welcome to {host}</p><ul><li>Start</li><li>Contact</li></ul></div><h1>Title {k}</h1><p>Body {host} {k} first.</p><div><p>Body {k} second.</p></div><div><p>Imprint of {host}</p></div></body>"
+
+    rows = [(k, f"http://{h}.org/{k}", page(h, k)) for h in ("one", "two") for k in range(12)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = sorted((f"http://{h}.org/{k}", f"Title {k}\n\nBody {h} {k} first.\n\nBody {k} second.") for h in ("one", "two") for k in range(12))
+    for most in (1_000_000, 2):
+        assert sorted((r.url, r.text) for r in main_text(frame, most_sent=most).collect()) == want
