@@ -26,7 +26,7 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 IS_WORD = table(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
-OUT = ("n_words", "n_hit", "items", "longest", "contaminated")
+OUT = ("n_words", "n_hit", "items", "longest", "locations", "contaminated")
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -182,10 +182,11 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``longest``, ``contaminated``.
+    """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``longest``, ``locations``, ``contaminated``.
 
     A word is hit if it stands in an occurrence of a window: ``window`` consecutive words of an item,
     or all words of a shorter one. ``longest``: words of the longest match that holds a window (0: none).
+    ``locations``: (start, end) of each run of hit words, counted in words of the document.
     Defined cases: null and empty texts have no words and match nothing; texts of any length are
     searched whole (one text is the least shard, so memory follows the longest text); repeated
     documents are judged alike and repeated items count under each of their ids; a null item id is
@@ -195,22 +196,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     spark = docs.sparkSession
     docs = docs.drop(*OUT)
-    bits, names, far = fresh(docs, "bits", "names", "far")
+    bits, names, far, runs = fresh(docs, "bits", "names", "far", "runs")
+    of_runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     item = F.coalesce(col(item_col).cast("string"), F.lit("null"))
     bench = benchmark.select(item.alias("i"), col(item_text).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 16)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     out = docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(bits, T.BinaryType()), T.StructField(names, T.ArrayType(T.StringType())), T.StructField(far, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(bits, T.BinaryType()), T.StructField(names, T.ArrayType(T.StringType())), T.StructField(far, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField(runs, of_runs)])
     for k in range(blocks):
         part = [(r.i, r.t) for r in bench.where(block == k).orderBy("i", "t").collect()]
         sent = spark.sparkContext.broadcast(part)
-        out = out.mapInArrow(_scanner(sent, window, text_col, (bits, names, far), len(docs.columns), k == 0), schema)
-    return out.select(*[col(c) for c in docs.columns], "n_words", "n_hit", F.array_sort(F.array_distinct(names)).alias("items"), F.col(far).alias("longest"), (F.col("n_hit") > 0).alias("contaminated"))
+        out = out.mapInArrow(_scanner(sent, window, text_col, (bits, names, far, runs), len(docs.columns), k == 0), schema)
+    return out.select(*[col(c) for c in docs.columns], "n_words", "n_hit", F.array_sort(F.array_distinct(names)).alias("items"), F.col(far).alias("longest"), F.col(runs).alias("locations"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _scanner(sent, window: int, text_col: str, cols: tuple[str, str, str], width: int, first: bool):
+def _scanner(sent, window: int, text_col: str, cols: tuple[str, str, str, str], width: int, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(sent.value, window)
         for batch in batches:
@@ -226,10 +228,13 @@ def _scanner(sent, window: int, text_col: str, cols: tuple[str, str, str], width
                         hit = hit | old
                         names = batch.column(width + 1)[k].as_py() + names
                         far = max(int(far), batch.column(width + 2)[k].as_py())
-                    done.append((np.packbits(hit).tobytes(), names, int(far), int(m), int(hit.sum())))
-            more = list(zip(*done, strict=True)) if done else [[], [], [], [], []]
-            kinds = (pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+                    edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)) if hit.any() else ()
+                    where = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                    done.append((np.packbits(hit).tobytes(), names, int(far), int(m), int(hit.sum()), where))
+            more = list(zip(*done, strict=True)) if done else [[], [], [], [], [], []]
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            kinds = (pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.list_(span))
             arrays = [pa.array(list(x), kind) for x, kind in zip(more, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*batch.schema.names[:width], *cols, "n_words", "n_hit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=[*batch.schema.names[:width], *cols[:3], "n_words", "n_hit", cols[3]])
 
     return run

@@ -29,45 +29,73 @@ ROWS_PER_BUCKET = 100_000
 LEAST_BUCKETS = 64
 
 
+def _stirling_error(n: float) -> float:
+    """log(n!) less Stirling's formula, without the loss of digits that large logarithms bring."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, by a series where the two are near each other."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    out, term, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = out + term / (2 * k + 1)
+        if more == out:
+            return out
+        out, k = more, k + 1
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """log of the binomial probability of x out of n, exact to a few units in the last place at any n."""
+    if x == 0:
+        return n * math.log(q)
+    if x == n:
+        return n * math.log(p)
+    out = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return out - 0.5 * (math.log(2 * math.pi * x) + math.log1p(-x / n))
+
+
+def log_mass(k: int, good: int, bad: int, draws: int) -> float:
+    """log of the hypergeometric probability that k of the draws are good."""
+    p, q = draws / (good + bad), (good + bad - draws) / (good + bad)
+    return _log_binomial(k, good, p, q) + _log_binomial(draws - k, bad, p, q) - _log_binomial(draws, good + bad, p, q)
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` items drawn without replacement are good. Exact for any size.
+    """How many of ``draws`` items drawn without replacement are good, for any size.
 
-    Inversion from the mode outwards: the steps are about the standard deviation.
+    Inversion from the mode outwards: the steps are about the standard deviation. Where rounding has
+    eaten the mass that the number drawn points to, it is drawn again.
     """
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-
-    def log_choose(n: int, k: int) -> float:
-        return lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-
-    start = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    left = u = rng.random()
-    left -= start
-    if left < 0:
-        return mode
-    down = up = start
-    a = b = mode
+    start = math.exp(log_mass(mode, good, bad, draws))
     while True:
-        moved = False
-        if b < high:
-            up *= (good - b) * (draws - b) / ((b + 1) * (bad - draws + b + 1))
-            b += 1
-            left -= up
-            moved = up > 0
-            if left < 0:
-                return b
-        if a > low:
-            down *= a * (bad - draws + a) / ((good - a + 1) * (draws - a + 1))
-            a -= 1
-            left -= down
-            moved = moved or down > 0
-            if left < 0:
-                return a
-        if not moved:  # rounding has eaten the rest of the mass
-            return mode if u < 0.5 else min(high, mode + 1)
+        left = rng.random() - start
+        if left < 0:
+            return mode
+        down = up = start
+        a = b = mode
+        while (b < high and up > 0) or (a > low and down > 0):
+            if b < high and up > 0:
+                up *= (good - b) * (draws - b) / ((b + 1) * (bad - draws + b + 1))
+                b += 1
+                left -= up
+                if left < 0:
+                    return b
+            if a > low and down > 0:
+                down *= a * (bad - draws + a) / ((good - a + 1) * (draws - a + 1))
+                a -= 1
+                left -= down
+                if left < 0:
+                    return a
 
 
 def communication_matrix(sizes: list[int], shard_sizes: list[int], seed: int) -> list[list[int]]:
