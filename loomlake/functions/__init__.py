@@ -1 +1 @@
-"""Part of loomlake."""
+"""Column functions: exact decimals, texts, JSON values, ranges and boxes."""

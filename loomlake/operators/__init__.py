@@ -1 +1 @@
-"""Part of loomlake."""
+"""Operators over DataFrames: logs, lineage, search, scoring, evidence, rules, tables, retention."""

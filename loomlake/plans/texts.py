@@ -67,8 +67,8 @@ TEXTS = {
         AND NOT EXISTS (SELECT 1 FROM @conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')""",
     "r080_outline_merge": """
         SELECT coalesce(a.k, b.k) AS k, coalesce(nullif(a.t, ''), b.t, '') AS title
-        FROM (SELECT conv_id AS k, max(CASE WHEN turn = 0 THEN substring(text, 1, 20) END) AS t FROM @conversations WHERE conv_id % 2 = 0 GROUP BY conv_id) a
-        FULL OUTER JOIN (SELECT conv_id AS k, max(substring(text, 1, 10)) AS t FROM @conversations GROUP BY conv_id) b ON a.k = b.k""",
+        FROM (SELECT conv_id AS k, max(CASE WHEN turn = 0 THEN text END) AS t FROM @conversations GROUP BY conv_id) a
+        FULL OUTER JOIN (SELECT conv_id AS k, max(text) AS t FROM @conversations GROUP BY conv_id) b ON a.k = b.k""",
     # Recursion
     "r084_ancestor_chain": """
         WITH RECURSIVE up(id, parent, depth) AS (

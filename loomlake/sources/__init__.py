@@ -1 +1 @@
-"""Part of loomlake."""
+"""Readers and writers of stored logs, units, envelopes and reports."""
