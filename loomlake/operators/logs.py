@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomlake.sources.folders import stored
+
 
 def _session():
     return Window.partitionBy("session_id").orderBy("seq")
@@ -82,13 +84,14 @@ def replacement_chain(folded: DataFrame) -> DataFrame:
 
     Joins double the known length each time, so that a chain takes a logarithmic number of them.
     """
-    step = folded.where("replaced_by is not null").select("session_id", "seq", F.array("replaced_by").alias("chain"))
+    step = stored(folded.where("replaced_by is not null").select("session_id", "seq", F.array("replaced_by").alias("chain")), "chains")
     while True:
         ahead = step.select("session_id", F.col("seq").alias("last"), F.col("chain").alias("more"))
         longer = step.withColumn("last", F.element_at("chain", -1)).join(ahead, ["session_id", "last"], "left")
         grown = longer.where("more is not null").limit(1).count()
-        step = longer.select("session_id", "seq", F.when(F.col("more").isNotNull(), F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain"))
-        if not grown:
+        if grown:
+            step = stored(longer.select("session_id", "seq", F.when(F.col("more").isNotNull(), F.concat("chain", "more")).otherwise(F.col("chain")).alias("chain")), "chains")
+        else:
             return step
 
 

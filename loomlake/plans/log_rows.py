@@ -401,7 +401,7 @@ ROWS = {
     "r140_cursor": (lambda s, d: _cursors(s), "SELECT * FROM (VALUES ('same', '3,x'), ('changed', 'stale cursor'), ('other', 'not a cursor')) t(k, result)"),
     "r181_written_once": (lambda s, d: _once(s, d), "SELECT count(*) AS n, 2 AS batches FROM orders"),
     "r182_shadow_price": (
-        lambda s, d: chunks_of.shadow_prices(_metered(s, d)),
+        lambda s, d: chunks_of.shadow_prices(_metered(s, d)).withColumn("seq", F.expr("seq div 2")),
         duck("""SELECT session_id, seq, CASE WHEN seq % 10 NOT IN (4, 9) THEN amount WHEN seq % 10 = 9 THEN 0 WHEN seq % 20 = 4 THEN amount - 5 END AS delta, seq % 20 = 14 AS error FROM @ops WHERE op IS NOT NULL"""),
     ),
     "r183_retention": (
@@ -472,7 +472,7 @@ def _metered(spark, sf_dir):
     """Each replacement of the first kind has a metering event before it, every second one over another range."""
     o = ops(spark, sf_dir).select("session_id", (F.col("seq") * 2).alias("seq"), F.lit("surface").alias("type"), "op", "start", "end", F.col("amount").alias("tokens"))
     meter = o.where("seq % 20 = 8").select("session_id", (F.col("seq") - 1).alias("seq"), F.lit("meter").alias("type"), F.lit(None).cast("string").alias("op"), F.when(F.col("seq") % 40 == 8, F.col("start")).otherwise(F.col("start") + 1).alias("start"), "end", F.lit(5).cast("long").alias("tokens"))
-    return o.unionByName(meter).withColumn("seq", F.when(F.col("type") == "surface", F.col("seq") / 2).otherwise(F.col("seq") / 2))
+    return o.unionByName(meter)
 
 
 def _reindexed(spark, sf_dir):

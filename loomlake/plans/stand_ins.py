@@ -19,13 +19,13 @@ STAND_INS = {
                  WHEN 4 THEN 'tool/call' WHEN 5 THEN CASE WHEN event_id % 11 = 0 THEN 'assistant/attempt' ELSE 'tool/result' END WHEN 6 THEN 'step/end' ELSE 'turn/end' END AS type,
                ms AS time, $DIV(seq, 8) AS turn, CASE WHEN seq % 8 BETWEEN 1 AND 6 THEN $DIV(seq, 8) * 10 END AS step,
                CASE WHEN seq % 8 IN (4, 5) THEN concat('c', $DIV(seq, 8)) END AS call_id, event_id, word, amount
-        FROM (SELECT concat('s', user_id) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+        FROM (SELECT concat('s', user_id) AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq,
                      event_id, $MILLIS(ts) AS ms, event_type AS word, CAST(floor(value) AS BIGINT) AS amount FROM @events) t""",
     # Operations on the surface of each session: appends, and two kinds of replacement, one over the other.
     "ops": """
         SELECT session_id, seq, CASE WHEN seq % 10 IN (4, 9) THEN 'replace' WHEN seq % 10 = 6 THEN NULL ELSE 'append' END AS op,
                CASE WHEN seq % 10 = 4 THEN seq - 2 WHEN seq % 10 = 9 THEN seq - 5 END AS first_seq, CASE WHEN seq % 10 IN (4, 9) THEN seq - 1 END AS last_seq, amount
-        FROM (SELECT concat('s', user_id) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CAST(floor(value) AS BIGINT) AS amount FROM @events) t""",
+        FROM (SELECT concat('s', user_id) AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq, CAST(floor(value) AS BIGINT) AS amount FROM @events) t""",
     # Sessions and their parents: a forest over orders, with parents that nobody has.
     "sessions": """
         SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 29 = 1 THEN 900000000 + o_orderkey ELSE $DIV(o_orderkey, 3) END AS parent,
@@ -57,7 +57,7 @@ STAND_INS = {
         SELECT stream, seq, $DIV(seq, 6) % 3 AS idx, CASE WHEN seq % 6 = 4 THEN 'block-end' WHEN seq % 6 = 0 THEN 'block-start' ELSE 'text-delta' END AS type,
                CASE $DIV(seq, 6) % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'reasoning' ELSE 'tool-call' END AS block_type,
                CASE WHEN seq % 6 IN (1, 2, 3, 5) THEN concat(word, seq, ' ') END AS text, CASE WHEN seq % 6 = 4 THEN concat('<', seq, '>') END AS final
-        FROM (SELECT concat('r', user_id) AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type AS word FROM @events) t
+        FROM (SELECT concat('r', user_id) AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq, event_type AS word FROM @events) t
         WHERE NOT (seq % 6 = 4 AND $DIV(seq, 6) % 5 = 1)""",
     # Conflicts of two to four values with their quotes.
     "conflicts": """
