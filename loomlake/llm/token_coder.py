@@ -1,203 +1,262 @@
-"""An adaptive context-mixing range coder for token ids, over many blocks at a time.
+"""An adaptive context-mixing range coder for token ids, by range variants of asymmetric numeral systems.
 
 Each block is coded by itself from a fresh state, so that it can be read alone. For each id the
-order-2 and order-1 contexts name the id that last followed them, with a confidence. The odds that
-either is right, by their confidences, are mixed into one law of three outcomes; if neither is, the id
-is coded by an order-0 model: adaptive laws of its four four-bit digits under the digits before, so all
-16 bits are predicted. Laws are cumulative counts of a fixed total that move towards what was seen.
-The blocks of a batch are the lanes of numpy arrays: one step codes one id of each block.
+order-2 and order-1 contexts name the id that last followed them, with a confidence. What either
+confidence and both together say of the outcomes (order 2 right, else order 1 right, neither) is mixed
+by weights that move to what foretold better. If neither is right, the id is coded by an order-0 law of
+whole ids; what that does not hold goes by its 16 bits. Laws and weights are learnt anew after each
+window of steps, from all that was coded before.
+
+The lanes of a block are stretches of it, coded side by side as numpy arrays: one step codes an id of
+each. The first windows have few lanes, so that a model stands before there are many. Everything that
+a law depends on is integer or single IEEE operations and exact sums, the same on each machine.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
 #: Ids of a block, and the least number that is no id.
-BLOCK, ID_LIMIT = 4096, 1 << 16
-MAGIC = b"LTB2"
-_HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids, bytes of the code
-_WINDOW, _WORD = (1 << 32) - 1, 1 << 16
-_BITS = 14
+BLOCK, ID_LIMIT = 1 << 20, 1 << 16
+MAGIC = b"LTB3"
+_HEADER = struct.Struct("<4sIIII")  # magic, ids, crc32 of the ids, bytes of the states and of the words
+#: States are from 2**16 to below 2**32 and move by 16-bit words; laws are shares of 2**16.
+_BITS = 16
 _TOTAL = 1 << _BITS
-_SLOTS = 1024
-#: Confidences: hits in a row, up to the last but one; the last stands for a context not seen yet.
-_SURE, _UNSEEN = 6, 7
-#: Laws of each digit: contexts are the digits before, three of them by a hash.
-_LAWS = (1, 16, 256, 256)
-#: How fast laws move: by 2**-rate of the way.
-_RATE, _RATE_KIND = 4, 5
-#: Steps between two looks at the room that is left, and words that an id may take.
-_LOOK, _MOST = 64, 6
+_MASK = _TOTAL - 1
+#: Lanes of the first windows and the most of any; steps of a window.
+_FIRST, _LANES, _STEPS = (1, 8, 64, 512), 4096, 64
+_SLOTS = 1 << 18
+#: Confidences: 0 before a context was seen, then one more than its hits in a row.
+_CONF = 8
+_KINDS = 4  # outcomes, and room for a fourth: rows of four
+_NEXT = np.array([[1, min(c + 1, _CONF - 1)] for c in range(_CONF)], np.int64).ravel() << 16
 
-_DIGIT = np.arange(16)
-#: Where the ends of the 16 symbols of a law move to when a symbol was seen; all sizes stay positive.
-_TO = np.where(_DIGIT[None, :] < _DIGIT[:, None], _DIGIT[None, :] + 1, _TOTAL - 15 + _DIGIT[None, :]).astype(np.int16)
-_TO_KIND = np.array([[_TOTAL - 2, _TOTAL - 1], [1, _TOTAL - 1], [1, 2]], np.int32)
 
+def _windows(n: int):
+    """(first id, lanes, ids of a lane, steps from, steps to): the same for writer and reader."""
+    at = 0
+    for lanes in _FIRST:
+        if at < n:
+            lanes = min(lanes, -(-(n - at) // _STEPS))
+            size = min(lanes * _STEPS, n - at)
+            yield at, lanes, -(-size // lanes), 0, -(-size // lanes), size
+            at += size
+    if at < n:
+        size = n - at
+        lanes = min(_LANES, -(-size // _STEPS))
+        each = -(-size // lanes)
+        for t in range(0, each, _STEPS):
+            yield at, lanes, each, t, min(t + _STEPS, each), size
 
-class _Some:
-    """The state of some lanes, taken out of the coder and given back."""
 
-    __slots__ = ("lane", "low", "range", "at", "part")
+class _Model:
+    """What has been learnt of a block. Writer and reader do the same with it."""
 
-    def __init__(self, coder: _Coder, lane):
-        self.lane = lane
-        self.low, self.range, self.at = coder.low[lane], coder.range[lane], coder.at[lane]
+    def __init__(self):
+        self.last = np.zeros(ID_LIMIT, np.int64), np.zeros(_SLOTS, np.int64)
+        self.kinds = np.zeros((2, _CONF, _CONF, 3), np.int64)  # agree, order 2's, order 1's confidence
+        self.weights = [1 / 3, 1 / 3, 1 / 3]
+        self.counts = np.zeros(ID_LIMIT, np.int64)
+        self.escapes = 0
+        self.learn(None, None, 0)
 
+    def learn(self, kinds: np.ndarray | None, ids: np.ndarray | None, escapes: int) -> None:
+        """Takes outcomes (context * 4 + kind) and ids of order 0 in, and makes the laws anew."""
+        if kinds is not None:
+            new = np.bincount(kinds, minlength=2 * _CONF * _CONF * _KINDS).reshape(2, _CONF, _CONF, _KINDS)[..., :3]
+            self._weigh(new)
+            self.kinds += new
+            self.counts += np.bincount(ids, minlength=ID_LIMIT)
+            self.escapes += escapes
+        laws = self._laws()
+        mix = sum(w * p for w, p in zip(self.weights, laws, strict=True))
+        size = np.maximum((mix * (_TOTAL - 8)).astype(np.int64), 1)
+        size[..., 2] = _TOTAL - size[..., 0] - size[..., 1]
+        sizes = np.concatenate((size, np.zeros_like(size[..., :1])), axis=-1)
+        starts = np.cumsum(sizes, axis=-1) - sizes
+        self.kind_start, self.kind_size = starts.ravel(), sizes.ravel()
+        self.end_0, self.end_1 = starts[..., 1].ravel().copy(), starts[..., 2].ravel().copy()
+        # Order 0: whole ids of a 2**16th at least; the rest, and what is new, is the escape's.
+        total = int(self.counts.sum())
+        room = _TOTAL - max(1, min(_TOTAL // 2, (self.escapes + 1) * _TOTAL // (total + 2)))
+        freq = self.counts * room // max(total, 1)
+        self.held = np.flatnonzero(freq)
+        freq = freq[self.held]
+        freq = np.append(freq, _TOTAL - freq.sum())
+        self.freq, self.start = freq, np.cumsum(freq) - freq
+        self.held = np.append(self.held, ID_LIMIT)
+        self.place = np.full(ID_LIMIT, len(freq) - 1, np.int64)
+        self.place[self.held[:-1]] = np.arange(len(freq) - 1)
+        self.slot = np.repeat(np.arange(len(freq)), freq)
 
-class _Coder:
-    """A range coder for each lane: 32-bit window, 16-bit words, carries go back into words written."""
+    def _laws(self) -> list[np.ndarray]:
+        """Of each confidence alone and of both: shares of the outcomes."""
+        n = self.kinds
+        seen = (n.sum(axis=2, keepdims=True), n.sum(axis=1, keepdims=True), n)
+        can = np.ones((2, 1, 1, 3)) * 0.4
+        can[1, :, :, 1] = 0  # where both name one id, order 1 is not right alone
+        out = []
+        for k in seen:
+            k = k + can
+            out.append(np.broadcast_to(k / (k[..., 0:1] + k[..., 1:2] + k[..., 2:3]), n.shape))
+        return out
 
-    def __init__(self, lanes: int, steps: int, codes: list[bytes] | None):
-        self.low = np.zeros(lanes, np.uint64)  # of a reader: the code less the low end
-        self.range = np.full(lanes, _WINDOW, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        if codes is None:
-            self.words = np.zeros((lanes, steps // 2 + _LOOK * _MOST + 8), np.uint16)
+    def _weigh(self, new: np.ndarray) -> None:
+        laws = self._laws()
+        at = np.nonzero(new)
+        total = int(new.sum())
+        if not total:
             return
-        self.words = np.zeros((lanes, max(len(c) for c in codes) // 2 + _MOST), np.uint16)
-        for k, c in enumerate(codes):
-            self.words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-        self.low = self.words[:, 0].astype(np.uint64) << 16 | self.words[:, 1]
-        self.at += 2
-
-    def grow(self) -> None:
-        if self.at.max(initial=0) + _LOOK * _MOST >= self.words.shape[1]:
-            self.words = np.concatenate((self.words, np.zeros((len(self.words), self.words.shape[1] // 2), np.uint16)), axis=1)
-
-    def put(self, s: _Some, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = s.range >> bits
-        low, rng = s.low + r * start.astype(np.uint64), r * size.astype(np.uint64)
-        over = np.flatnonzero(low > _WINDOW)
-        if len(over):
-            low[over] &= _WINDOW
-            lane, at = s.lane[over], s.at[over] - 1
-            while len(lane):
-                self.words[lane, at] += 1
-                on = self.words[lane, at] == 0
-                lane, at = lane[on], at[on] - 1
-        go = np.flatnonzero(rng < _WORD)
-        if len(go):
-            at, out = s.at[go], low[go]
-            self.words[s.lane[go], at] = out >> 16
-            low[go], rng[go], s.at[go] = (out & 0xFFFF) << 16, rng[go] << 16, at + 1
-        s.low, s.range = low, rng
-
-    def ask(self, s: _Some, bits: int) -> np.ndarray:
-        """Where in the law's total the next symbol lies."""
-        s.part = s.range >> bits
-        return np.minimum(s.low // s.part, (1 << bits) - 1).astype(np.int32)
-
-    def drop(self, s: _Some, start: np.ndarray, size: np.ndarray) -> None:
-        low, rng = s.low - s.part * start.astype(np.uint64), s.part * size.astype(np.uint64)
-        go = np.flatnonzero(rng < _WORD)
+        parts = [w * p[at] for w, p in zip(self.weights, laws, strict=True)]
+        mix = parts[0] + parts[1] + parts[2]
+        ok = mix > 0
+        share = [math.fsum((new[at][ok] * (p[ok] / mix[ok])).tolist()) / total for p in parts]
+        self.weights = [(w + s + 0.01) / 2.03 for w, s in zip(self.weights, share, strict=True)]
+
+    def look(self, one: np.ndarray, before: np.ndarray):
+        slot = (one * 40503 + before * 60493) >> 3 & (_SLOTS - 1)
+        first, second = self.last[0].take(one), self.last[1].take(slot)
+        context = (second >> _BITS) * _CONF + (first >> _BITS)
+        context += (((first ^ second) & _MASK) == 0) * (_CONF * _CONF)
+        return slot, first, second, context
+
+    def see(self, one, slot, first, second, x, right_1, right_2) -> None:
+        self.last[0][one] = x | _NEXT.take((first >> _BITS) * 2 + right_1)
+        self.last[1][slot] = x | _NEXT.take((second >> _BITS) * 2 + right_2)
+
+
+def _lanes_at(lanes: int, each: int, size: int, t: int) -> int:
+    """Lanes that have a t-th id: all but those behind the end."""
+    return min(lanes, max(0, -(-(size - t) // each)))
+
+
+def _encode(ids: np.ndarray) -> tuple[bytes, bytes]:
+    model = _Model()
+    plan = []  # what each step puts, in order: (lanes, starts, sizes)
+    most = 0
+    wide, one, before = None, None, None
+    for at, lanes, each, a, b, size in _windows(len(ids)):
+        most = max(most, lanes)
+        if a == 0:
+            grid = np.zeros(lanes * each, np.int64)
+            grid[:size] = ids[at : at + size]
+            wide = np.ascontiguousarray(grid.reshape(lanes, each).T)
+            one, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        kinds, missed, escapes = [], [], 0
+        for t in range(a, b):
+            n = _lanes_at(lanes, each, size, t)
+            x, one, before = wide[t, :n], one[:n], before[:n]
+            slot, first, second, context = model.look(one, before)
+            right_1, right_2 = (first & _MASK) == x, (second & _MASK) == x
+            kind = context * _KINDS
+            neither = ~(right_1 | right_2)
+            kind += neither * 2 + (right_1 > right_2)
+            kinds.append(kind)
+            miss = np.flatnonzero(neither)
+            plan.append((slice(0, n), model.kind_start.take(kind), model.kind_size.take(kind)))
+            if len(miss):
+                own = x.take(miss)
+                place = model.place.take(own)
+                missed.append(own)
+                plan.append((miss, model.start.take(place), model.freq.take(place)))
+                escaped = np.flatnonzero(place == len(model.freq) - 1)
+                if len(escaped):
+                    escapes += len(escaped)
+                    plan.append((miss[escaped], own[escaped], None))
+            model.see(one, slot, first, second, x, right_1, right_2)
+            one, before = x, one
+        model.learn(np.concatenate(kinds), np.concatenate(missed or [np.zeros(0, np.int64)]), escapes)
+    states = np.full(most, _TOTAL, np.int64)
+    words: list[np.ndarray] = []
+    for lane, start, freq in reversed(plan):
+        x = states[lane]
+        if freq is None:
+            freq = np.ones(len(start), np.int64)
+        go = np.flatnonzero((x >> _BITS) >= freq)
         if len(go):
-            at = s.at[go]
-            word = self.words[s.lane[go], np.minimum(at, self.words.shape[1] - 1)]  # a broken code may run out
-            low[go], rng[go], s.at[go] = low[go] << 16 | word, rng[go] << 16, at + 1
-        s.low, s.range = low, rng
-
-    def back(self, s: _Some, lane) -> None:
-        self.low[lane], self.range[lane], self.at[lane] = s.low, s.range, s.at
-
-    def end(self) -> list[bytes]:
-        row = np.arange(len(self.low))
-        self.words[row, self.at], self.words[row, self.at + 1] = self.low >> 16, self.low & 0xFFFF
-        return [self.words[k, : n + 2].astype("<u2").tobytes() for k, n in enumerate(self.at)]
-
-
-def _below(ends: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """How many of the 16 ends of each row are at most the value: the sum of eight truths times two."""
-    truths = (ends <= value.astype(np.int16)[:, None]).view(np.uint64)
-    return (((truths[:, 0] + truths[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
-
-
-def _run(sizes: np.ndarray, ids: np.ndarray | None, codes: list[bytes] | None) -> tuple[np.ndarray, list[bytes]]:
-    """Lanes come longest first. ``ids``: a column for each lane, None to read ``codes``."""
-    lanes, steps = len(sizes), int(sizes.max(initial=0))
-    coder = _Coder(lanes, steps, codes)
-    reads = ids is None
-    out = np.zeros((steps, lanes), np.uint16) if reads else ids
-    # What each context saw last: the id, and above it its confidence.
-    last = [np.full(lanes * _SLOTS, _UNSEEN << 16, np.int32) for _ in range(2)]
-    # Ends of: order 2 right, order 1 right; by the confidence of each order. Whole rows move as one number.
-    kinds = [np.tile(np.array([_TOTAL // 3, 2 * _TOTAL // 3], np.int32), (lanes * (_UNSEEN + 1), 1)) for _ in range(2)]
-    kind_rows = [x.view(np.int64).ravel() for x in kinds]
-    law = np.dtype((np.void, 32))
-    digits = [np.tile(((_DIGIT + 1) * (_TOTAL // 16)).astype(np.int16), (lanes * n, 1)) for n in _LAWS]
-    digit_rows = [x.view(law).ravel() for x in digits]
-    every = np.arange(lanes)
-    edges = np.zeros((4, lanes), np.int64)
-    edges[3] = 2 * _TOTAL
-    flat = edges.ravel()
-    one, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        n = lanes if sizes[-1] > t else int(np.searchsorted(-sizes, -t, side="left"))
-        if not reads and t % _LOOK == 0:
-            coder.grow()
-        lane = every[:n]
-        hashed = one[:n] * 40503
-        slots = (lane * _SLOTS + ((hashed + before[:n] * 5) >> 3 & (_SLOTS - 1)), lane * _SLOTS + (hashed >> 2 & (_SLOTS - 1)))
-        before[:n] = hashed
-        seen = [last[k].take(slots[k]) for k in range(2)]
-        guess = [s & 0xFFFF for s in seen]
-        conf = [s >> 16 for s in seen]
-        at = [lane * (_UNSEEN + 1) + conf[k] for k in range(2)]
-        ends = [kinds[k].take(at[k], axis=0) for k in range(2)]
-        edges[1:3, :n] = (ends[0] + ends[1]).T
-        s = _Some(coder, slice(0, n))
-        s.lane = lane
-        if reads:
-            value = coder.ask(s, _BITS + 1)
-            kind = (value >= edges[1, :n]).astype(np.int64) + (value >= edges[2, :n])
-        else:
-            x = out[t, :n].astype(np.int32)
-            right = [guess[k] + (conf[k] // _UNSEEN << 16) == x for k in range(2)]
-            kind = 2 - np.maximum(2 * right[0], right[1])
-        place = kind * lanes + lane
-        start = flat.take(place)
-        size = flat.take(place + lanes) - start
-        if reads:
-            coder.drop(s, start, size)
-            x = np.where(kind == 0, guess[0], guess[1])
-        else:
-            coder.put(s, start, size, _BITS + 1)
-        coder.back(s, slice(0, n))
-        to = _TO_KIND.take(kind, axis=0)
-        for k in range(2):
-            kind_rows[k][at[k]] = (ends[k] + ((to - ends[k]) >> _RATE_KIND)).view(np.int64).ravel()
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            s = _Some(coder, miss)
-            row = np.arange(len(miss)) * 16
-            value = np.zeros(len(miss), np.int64)
-            own = None if reads else x.take(miss).astype(np.int64)
-            for k, count in enumerate(_LAWS):
-                at_law = miss * count + (value if k < 3 else (value * 40503 >> 4) & (count - 1))
-                law_ends = digits[k].take(at_law, axis=0)
-                digit = _below(law_ends, coder.ask(s, _BITS)) if reads else own >> (12 - 4 * k) & 15
-                its = row + digit
-                end = law_ends.take(its).astype(np.int64)
-                start = law_ends.take(np.maximum(its - 1, 0)) * (digit > 0)
-                if reads:
-                    coder.drop(s, start, end - start)
-                else:
-                    coder.put(s, start, end - start, _BITS)
-                digit_rows[k][at_law] = (law_ends + ((_TO.take(digit, axis=0) - law_ends) >> _RATE)).view(law).ravel()
-                value = value << 4 | digit
-            coder.back(s, miss)
-            if reads:
-                x[miss] = value
-        for k in range(2):
-            more = np.minimum(conf[k] + 1, _SURE) * (guess[k] + (conf[k] // _UNSEEN << 16) == x)
-            last[k][slots[k]] = x | more << 16
-        if reads:
-            out[t, :n] = x
-        one[:n] = x
-    return out, [] if reads else coder.end()
+            out = x.take(go)
+            words.append((out & _MASK).astype("<u2"))
+            x[go] = out >> _BITS
+        whole = (x / freq).astype(np.int64)  # exact: below 2**32
+        states[lane] = (whole << _BITS) + (x - whole * freq) + start
+    return states.astype("<u4").tobytes(), np.concatenate(words[::-1] or [np.zeros(0, "<u2")]).tobytes()
+
+
+def _decode(n_ids: int, states: bytes, coded: bytes) -> np.ndarray:
+    """Damage gives wrong ids, or ValueError where words run out."""
+    model = _Model()
+    state = np.frombuffer(states, "<u4").astype(np.int64)
+    words = np.frombuffer(coded, "<u2").astype(np.int64)
+    pos = 0
+    out = np.zeros(n_ids, "<u4")
+
+    def take(x: np.ndarray) -> None:
+        nonlocal pos
+        low = np.flatnonzero(x < _TOTAL)
+        if len(low):
+            new = words[pos : pos + len(low)]
+            if len(new) < len(low):
+                raise ValueError("block is cut off")
+            x[low] = x.take(low) << _BITS | new
+            pos += len(low)
+
+    wide, one, before = None, None, None
+    for at, lanes, each, a, b, size in _windows(n_ids):
+        if len(state) < lanes:
+            raise ValueError("block is cut off")
+        if a == 0:
+            wide = np.zeros((each, lanes), np.int64)
+            one, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        kinds, missed, escapes = [], [], 0
+        for t in range(a, b):
+            n = _lanes_at(lanes, each, size, t)
+            one, before = one[:n], before[:n]
+            slot, first, second, context = model.look(one, before)
+            s = state[:n]
+            value = s & _MASK
+            end_1 = value >= model.end_1.take(context)
+            kind = context * _KINDS
+            kind += end_1
+            kind += value >= model.end_0.take(context)
+            kinds.append(kind)
+            s >>= _BITS
+            s *= model.kind_size.take(kind)
+            s += value
+            s -= model.kind_start.take(kind)
+            take(s)
+            x = np.where(kind & 3, first, second) & _MASK
+            miss = np.flatnonzero(end_1)
+            if len(miss):
+                m = s.take(miss)
+                value = m & _MASK
+                place = model.slot.take(value)
+                own = model.held.take(place)
+                m = (m >> _BITS) * model.freq.take(place) + value - model.start.take(place)
+                take(m)
+                escaped = np.flatnonzero(own == ID_LIMIT)
+                if len(escaped):
+                    escapes += len(escaped)
+                    own[escaped] = m[escaped] & _MASK
+                    e = m[escaped] >> _BITS
+                    take(e)
+                    m[escaped] = e
+                s[miss] = m
+                x[miss] = own
+                missed.append(own)
+            model.see(one, slot, first, second, x, (first & _MASK) == x, (second & _MASK) == x)
+            wide[t, :n] = x
+            one, before = x, one
+        model.learn(np.concatenate(kinds), np.concatenate(missed or [np.zeros(0, np.int64)]), escapes)
+        if b == each:
+            out[at : at + size] = wide.T.ravel()[:size]
+    if pos != len(words) or (state != _TOTAL).any():
+        raise ValueError("code of a block is wrong")
+    return out
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -205,42 +264,37 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 
     Raises ValueError for an id that 16 bits do not hold, and for a block of more than ``BLOCK`` ids.
     """
-    sizes = np.array([len(b) for b in blocks], np.int64)
-    if sizes.max(initial=0) > BLOCK:
-        raise ValueError(f"a block holds {BLOCK} ids at most")
+    out = []
     for b in blocks:
+        if len(b) > BLOCK:
+            raise ValueError(f"a block holds {BLOCK} ids at most")
         if len(b) and not 0 <= int(b.min()) <= int(b.max()) < ID_LIMIT:
             raise ValueError(f"ids must be from 0 to {ID_LIMIT - 1}")
-    order = np.argsort(-sizes, kind="stable")
-    ids = np.zeros((int(sizes.max(initial=0)), len(blocks)), np.uint16)
-    for row, k in enumerate(order):
-        ids[: sizes[k], row] = blocks[k]
-    _, codes = _run(sizes[order], ids, None)
-    out: list[bytes] = [b""] * len(blocks)
-    for row, k in enumerate(order):
-        crc = zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes())
-        out[k] = _HEADER.pack(MAGIC, int(sizes[k]), crc, len(codes[row])) + codes[row]
+        states, words = _encode(np.asarray(b))
+        states = zlib.compress(states)
+        crc = zlib.crc32(np.asarray(b).astype("<u4").tobytes())
+        out.append(_HEADER.pack(MAGIC, len(b), crc, len(states), len(words)) + states + words)
     return out
 
 
 def decode(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ValueError where magic, size or checksum is wrong."""
-    heads = []
+    out = []
     for c in coded:
         if len(c) < _HEADER.size:
             raise ValueError("block is cut off")
-        magic, n, crc, size = _HEADER.unpack_from(c)
-        if magic != MAGIC or len(c) != _HEADER.size + size or n > BLOCK or size < 4 or size % 2:
+        magic, n, crc, n_states, n_words = _HEADER.unpack_from(c)
+        if magic != MAGIC or len(c) != _HEADER.size + n_states + n_words or n > BLOCK or n_words % 2:
+            raise ValueError("not a block of token ids")
+        at = _HEADER.size + n_states
+        try:
+            states = zlib.decompress(c[_HEADER.size : at])
+        except zlib.error as e:
+            raise ValueError("states of a block are damaged") from e
+        if len(states) % 4:
             raise ValueError("not a block of token ids")
-        heads.append((n, crc))
-    if not coded:
-        return []
-    sizes = np.array([n for n, _ in heads], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    ids, _ = _run(sizes[order], None, [coded[k][_HEADER.size :] for k in order])
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    for row, k in enumerate(order):
-        out[k] = ids[: sizes[k], row].astype("<u4")
-        if zlib.crc32(out[k].tobytes()) != heads[k][1]:
+        ids = _decode(n, states, c[at:])
+        if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("checksum of a block is wrong")
+        out.append(ids)
     return out

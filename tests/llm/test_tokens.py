@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loomlake.llm.token_coder import BLOCK, decode, encode
-from loomlake.llm.token_files import read_index, read_pieces, write_tokens
+from loomlake.llm.token_files import Ids, read_index, read_pieces, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, part string, id int, block string"
@@ -95,3 +95,65 @@ def test_coder_refuses():
     for bad in (b"", good[:20], good[:-2], b"X" + good[1:], good[:40] + bytes([good[40] ^ 1]) + good[41:]):
         with pytest.raises(ValueError):
             decode([bad])
+
+
+def test_workers_keep_their_encoder(spark, tmp_path):
+    """Tasks after the first take the words over that their worker has met."""
+    written(spark, tmp_path, [(1, "some words")])
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from loomlake.llm import token_files
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_files._encoders)] * batch.num_rows, pa.int64())], names=["id"])
+
+    counts = spark.range(0, 64, 1, 16).mapInArrow(kept, "id long").collect()
+    assert max(r["id"] for r in counts) > 0
+
+
+def test_a_block_learns_from_all_of_it():
+    """Phrases that stand far apart are known again; blocks of a few thousand ids met most of them anew."""
+    rng = np.random.default_rng(8)
+    phrases = rng.integers(0, 1 << 16, (400, 40))
+    ids = phrases[rng.integers(0, 400, 5000)].ravel()
+    size = min(BLOCK, len(ids))
+    coded = encode([ids[a : a + size] for a in range(0, len(ids), size)])
+    assert (np.concatenate(decode(coded)) == ids).all()
+    assert sum(map(len, coded)) < 2 * len(ids) / 5
+
+
+def test_coder_sizes():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 63, 64, 65, 575, 576, 577, 4671, 4672, 4673, 37439, 37440, 37441, 50001, 37440 + 4096 * 64 + 1, 400_003]
+    blocks = [np.minimum(rng.geometric(0.01, n), 65535) for n in sizes]
+    assert all(len(a) == len(b) and (a == b).all() for a, b in zip(decode(encode(blocks)), blocks, strict=True))
+
+
+def test_damage_gives_no_wrong_ids():
+    """A bit that nothing reads may flip (the last byte of deflated states is padded); any other is a ValueError."""
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.geometric(0.02, 9000), 65535)
+    (good,) = encode([ids])
+    refused = 0
+    places = [*range(40), *rng.integers(40, len(good), 60).tolist()]
+    for at in places:
+        try:
+            assert (decode([good[:at] + bytes([good[at] ^ 1 << int(rng.integers(8))]) + good[at + 1 :]])[0] == ids).all()
+        except ValueError:
+            refused += 1
+    assert refused >= len(places) - 1
+
+
+def test_pre_tokens_are_the_library_s():
+    """White space of all kinds, contractions, marks, and words too long for the table, in one batch."""
+    rng = random.Random(11)
+    alphabet = "aszé漢tlrevmd''''   \n\t\u00a0\u3000019²½,.<|!😀𝕏\u0301\0\x1c\x85\u200b"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    texts += ["", "", "x" * 5000, "word" * 4, "word" * 4 + "s", " " * 40, "a<|endoftext|>b", "'s'll''s 're\n've"] * 2
+    library, ids_of = Tokenizer.from_file(PATH), Ids(PATH, 7)
+    for _ in range(2):  # new words, then known ones
+        ids, ends = ids_of.of([t.encode() for t in texts])
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
