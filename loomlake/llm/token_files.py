@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ _JOINED, _PARTS = 1000, 1024
 _PIECE = np.dtype([("ordinal", "<i8"), ("id", "<i8"), ("n", "<u4"), ("null", "u1"), ("first", "u1"), ("last", "u1")])
 
 
+#: Where a text may be cut: what stands before white space never changes pre-tokens behind it.
+_CUT = re.compile(rb"[!-~](?=[ \n])")
 #: Stands behind each text; no UTF-8 holds it.
 _STOP = 0xFF
 _LETTER, _NUMBER, _SPACE, _OTHER, _END = range(5)
@@ -96,6 +99,14 @@ def _starts(data: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def _cuts(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(text) - at > _AT_ONCE and (m := _CUT.search(text, at + _AT_ONCE // 2)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
 class _Known:
     """Ids of pre-tokens by their bytes: up to 16 in a table of two 64-bit numbers, longer in a dict."""
 
@@ -214,6 +225,10 @@ class Ids:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts one after the other, and where each text's ids end."""
         whole = [k for k, t in enumerate(texts) if not self.by_words or any(a in t for a in self.added)]
+        if not whole and len(texts) == 1:  # a long text, some at a time
+            parts = [self._of_words([cut])[0] for cut in _cuts(texts[0])]
+            ids = np.concatenate([*(p[:-1] for p in parts[:-1]), parts[-1]])
+            return ids, np.array([len(ids)])
         if not whole:
             return self._of_words(texts)
         rest = list(texts)

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from loomlake.llm import token_files
 from loomlake.llm.token_coder import BLOCK, decode, encode
 from loomlake.llm.token_files import Ids, read_index, read_pieces, write_tokens
 
@@ -157,3 +158,14 @@ def test_pre_tokens_are_the_library_s():
         ids, ends = ids_of.of([t.encode() for t in texts])
         got = [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
         assert got == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_long_texts_are_cut_between_pre_tokens(monkeypatch):
+    monkeypatch.setattr(token_files, "_AT_ONCE", 8)
+    rng = random.Random(12)
+    library, ids_of = Tokenizer.from_file(PATH), Ids(PATH, 0)
+    assert len(list(token_files._cuts(b"some words " * 9))) > 5
+    for _ in range(500):
+        text = "".join(rng.choice("abé漢s'll   \n\n\t.,1\u00a0") for _ in range(80))
+        ids, ends = ids_of.of([text.encode()])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + [0] and ends.tolist() == [len(ids)]
